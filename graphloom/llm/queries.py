@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, tokenfile
+from graphloom.llm import packing, quality, simhash, tokenfile
+from graphloom.session import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialize(quality.statistics(_table(spark, sf_dir, "documents")), "quality")
+    model = quality.fit(stats, _table(spark, sf_dir, "labels"))
+    return quality.judge(stats, model).withColumn("reason", F.element_at(F.array(*map(F.lit, quality.RATIOS)), F.col("reason").cast("int") + 1))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(_table(spark, sf_dir, "documents")))
 
@@ -24,5 +35,5 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select(*cols)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_file, op8_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_simhash, op5_token_file, op8_pack)}
 ORACLES: dict[str, str] = {}
