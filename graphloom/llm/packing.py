@@ -275,8 +275,8 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 8000):
+                some = batch.slice(i, 8000)
                 rows: list[tuple] = []
                 for doc, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text"))):
                     ids += end

@@ -141,7 +141,7 @@ def _write_shard(uri: str, batches: Iterator[pa.RecordBatch], tokenizer: str | N
             texts, ids = batch.column("text"), batch.column("doc_id")
             nulls += ids.null_count
             keys.append(np.asarray(ids.drop_null(), np.int64))
-            step = 500
+            step = 8000
             for i in range(0, len(texts), step):
                 got = enc.encode(texts.slice(i, step))
                 lengths.append(np.fromiter(map(len, got), np.int64, len(got)) // 4 + 1)

@@ -24,10 +24,11 @@ import pyarrow.compute as pc
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids one process keeps; a full table keeps what the block at hand uses.
 WORD_TABLE = 900_000
-#: Characters of text that are encoded at a time.
-BLOCK = 8_000_000
+#: Bytes of text whose words are told apart at a time; words put together at a time.
+BLOCK, SLICE = 24_000_000, 1_000_000
 _SAFE_SPACE = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"<>=+/-]+)")
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_SIGNS = ".,;:!?*#$%&|()\"<>=+/-"
 
 
 def default_path() -> str:
@@ -95,47 +96,60 @@ class WordEncoder:
                 table[word] = raw[4 * at : 4 * cut]
                 at = cut + 1
 
-    def _learn(self, table: dict[str, bytes | None], new: list[str], lead: str) -> None:
-        """Put the ids of words, each after ``lead``, into ``table``; None for unsafe ones."""
-        alone = [w for w in new if w.isalpha()]
-        signed: list[tuple[str, str, str]] = []
-        lines: list[tuple[str, list[str]]] = []
-        rest: list[str] = []
-        need: set[str] = set()
-        bare: set[str] = set()
-        match = _SIMPLE.fullmatch
-        for w in new:
-            if w.isalpha():
+    def _known(self, table: dict[str, bytes | None], used: list[str], lead: str, letters: bool) -> list[bytes | None]:
+        """Ids of distinct words after ``lead``; None for those that are no whole word of a text."""
+        new = [w for w in used if w not in table]
+        if len(new) + len(table) > WORD_TABLE:
+            kept = {w: table[w] for w in used if w in table}
+            table.clear()
+            table.update(kept)
+        if letters:
+            self._fill(table, new, lead)
+        elif new:
+            for word, ids in zip(new, self._each([lead + w for w in new])):
+                unsafe = not word or word[0].isspace() or word[-1].isspace() or "\u180e" in word
+                table[word] = None if unsafe else ids
+        return [table[w] for w in used]
+
+    def _words(self, words: pa.LargeStringArray, lead: str) -> list[bytes | None]:
+        """Ids of distinct words; one that begins with a line end stands after it, without ``lead``."""
+        broken = pc.starts_with(words, "\n")
+        core = pc.if_else(broken, pc.utf8_slice_codeunits(words, 1), words)
+        base = pc.utf8_rtrim(core, characters=_SIGNS)
+        simple = np.asarray(pc.match_substring_regex(base, _LETTERS))
+        broken = np.asarray(broken)
+        out: list[bytes | None] = [None] * len(words)
+        n_base = np.asarray(pc.binary_length(base)).astype(np.int64)
+        n_core = np.asarray(pc.binary_length(core)).astype(np.int64)
+        signed = simple & (n_base < n_core)
+        tail: dict[int, bytes] = {}
+        if signed.any():
+            at = np.flatnonzero(signed)
+            suffix = pa.array([w[n:] for w, n in zip(core.take(pa.array(at)).to_pylist(), np.asarray(pc.utf8_length(base))[at].tolist())], pa.large_string()).dictionary_encode()
+            ids = self._known(self.heads, suffix.dictionary.to_pylist(), "", False)
+            tail = dict(zip(at.tolist(), [ids[i] for i in np.asarray(suffix.indices).tolist()]))
+        for after, table, first, start in ((False, self.words, lead, b""), (True, self.heads, "", self.line_end)):
+            if not lead and not after:
+                table = self.heads
+            at = np.flatnonzero(simple & (broken == after))
+            if not len(at):
                 continue
-            if m := match(w):
-                base, signs = m.groups()
-                signed.append((w, base, signs))
-                need.add(base)
-                bare.add(signs)
-            elif "\n" in w and all([x.isalpha() or match(x) for x in w.split("\n")]):
-                parts = w.split("\n")
-                lines.append((w, parts))
-                need.add(parts[0])
-                bare.update(parts[1:])
-            else:
-                rest.append(w)
-        need.difference_update(table, alone)
-        self._fill(table, alone + [w for w in need if w.isalpha()], lead)
-        if more := [w for w in need if not w.isalpha()]:
-            self._learn(table, more, lead)
-        heads = self.heads
-        bare.difference_update(heads)
-        if bare:
-            signs_only = [w for w in bare if not w[0].isalpha()]
-            heads.update(zip(signs_only, self._each(signs_only)))
-            self._learn(heads, [w for w in bare if w[0].isalpha()], "")
-        for w, base, signs in signed:
-            table[w] = table[base] + heads[signs]
-        for w, parts in lines:
-            table[w] = self.line_end.join([table[parts[0]], *[heads[x] for x in parts[1:]]])
-        for word, ids in zip(rest, self._each([lead + w for w in rest])):
-            unsafe = not word or word[0].isspace() or word[-1].isspace() or "\u180e" in word
-            table[word] = None if unsafe else ids
+            coded = base.take(pa.array(at)).dictionary_encode()
+            ids = self._known(table, coded.dictionary.to_pylist(), first, True)
+            for i, k in zip(at.tolist(), np.asarray(coded.indices).tolist()):
+                out[i] = ids[k]
+            if after:
+                for i in at.tolist():
+                    out[i] = start + out[i]
+        for i, ids in tail.items():
+            out[i] += ids
+        for after, table, first in ((False, self.words if lead else self.heads, lead), (True, self.heads, "")):
+            at = np.flatnonzero(~simple & (broken == after))
+            if len(at):
+                ids = self._known(table, core.take(pa.array(at)).to_pylist(), first, False)
+                for i, x in zip(at.tolist(), ids):
+                    out[i] = x if x is None or not after else self.line_end + x
+        return out
 
     def _mixed(self, text: str) -> bytes:
         """Cut at the safe spaces only; the tokenizer encodes each piece."""
@@ -145,43 +159,34 @@ class WordEncoder:
         known = dict(zip(new, self._each(new)))
         return b"".join([known[p] for p in lead])
 
-    def _ids_of(self, table: dict[str, bytes | None], used: list[str], lead: str) -> list[bytes | None]:
-        new = [w for w in used if w not in table]
-        if len(new) + len(table) > WORD_TABLE:
-            kept = {w: table[w] for w in used if w in table}
-            table.clear()
-            table.update(kept)
-        if new:
-            self._learn(table, new, lead)
-        return [table[w] for w in used]
-
-    def _block(self, texts: pa.StringArray) -> list[bytes]:
-        lists = pc.split_pattern(texts, " ")
+    def _block(self, texts: pa.LargeStringArray) -> list[bytes]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         flat = lists.flatten()
         starts = np.asarray(lists.offsets)[: len(texts)] - lists.offsets[0].as_py()
         where = np.append(starts, len(flat))
         coded = flat.dictionary_encode()
-        index = np.asarray(coded.indices).astype(np.int64)
-        used = self._ids_of(self.words, coded.dictionary.to_pylist(), " ")
+        index = np.asarray(coded.indices).copy()
+        used = self._words(coded.dictionary, " ")
         first = flat.take(pa.array(starts)).dictionary_encode()
-        index[starts] = np.asarray(first.indices).astype(np.int64) + len(used)
-        used += self._ids_of(self.heads, first.dictionary.to_pylist(), "")
+        index[starts] = np.asarray(first.indices) + len(used)
+        used += self._words(first.dictionary, "")
+        del lists, flat, coded, first
         unsafe = np.fromiter((x is None for x in used), bool, len(used))
         used = [x or b"" for x in used]
-        size = np.fromiter(map(len, used), np.int64, len(used)) // 4
-        at = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(used), "<u4")
-        each = size[index]
-        ends = np.cumsum(each)
-        out = ids[np.repeat(at[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        cut = np.append(0, ends)[where].tolist()
-        result = [out[4 * a : 4 * b] for a, b in zip(cut, cut[1:])]
+        size = np.fromiter(map(len, used), np.int32, len(used))
+        result: list[bytes] = []
+        cuts = np.unique(np.append(np.searchsorted(where, np.arange(0, len(index), SLICE)), len(texts))).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            part = index[where[a] : where[b]]
+            whole = b"".join([used[i] for i in part.tolist()])
+            ends = np.append(0, np.cumsum(size[part], dtype=np.int64))[where[a : b + 1] - where[a]].tolist()
+            result += [whole[i:j] for i, j in zip(ends, ends[1:])]
         if unsafe.any():
             seen = np.append(0, np.cumsum(unsafe[index]))
             for i in np.flatnonzero(seen[where[1:]] > seen[where[:-1]]).tolist():
                 result[i] = self._mixed(texts[i].as_py())
         for special in self.specials:
-            for i in np.flatnonzero(np.asarray(pc.match_substring(texts, special).to_numpy(zero_copy_only=False))).tolist():
+            for i in np.flatnonzero(np.asarray(pc.match_substring(texts, special))).tolist():
                 result[i] = self._plain(texts[i].as_py())
         return result
 
