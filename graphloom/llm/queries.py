@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, quality, simhash, tokenfile
+from graphloom.llm import decontam, packing, pii, quality, simhash, tokenfile
 from graphloom.session import materialize
 
 
@@ -29,11 +29,21 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(_table(spark, sf_dir, "documents")))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates: doc_id, text, pii_types."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) pairs of documents that hold a benchmark item."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(_table(spark, sf_dir, "documents"))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return packing.pack(pieces).select(*cols)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_simhash, op5_token_file, op8_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_simhash, op5_token_file, op6_surrogates, op7_decontaminate, op8_pack)}
 ORACLES: dict[str, str] = {}
