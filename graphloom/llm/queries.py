@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, packing, pii, quality, simhash, tokenfile
+from graphloom.llm import decontam, packing, pii, quality, simhash, tokenfile, warc
 from graphloom.session import materialize
 
 
@@ -45,5 +45,22 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select(*cols)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_simhash, op5_token_file, op6_surrogates, op7_decontaminate, op8_pack)}
-ORACLES: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(_table(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, archive).drop("url")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_simhash, op5_token_file, op6_surrogates, op7_decontaminate, op8_pack, op9_warc)}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n,
+                 row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC) AS place,
+                 max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+          FROM pages)
+        SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN n >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND place > 1 THEN owner END AS refers_to
+        FROM p
+    """,
+}
