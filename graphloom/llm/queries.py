@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, langid, packing, pii, quality, simhash, tokenfile, warc
+from graphloom.llm import decontam, langid, packing, pii, quality, scoring, simhash, tokenfile, warc
 from graphloom.session import materialize
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scoring.score(docs, scoring.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out("doc_id")).select("doc_id", "text", "lang"))
@@ -56,7 +61,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, archive).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op3_quality, op4_simhash, op5_token_file, op6_surrogates, op7_decontaminate, op8_pack, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_entropy, op2_language, op3_quality, op4_simhash, op5_token_file, op6_surrogates, op7_decontaminate, op8_pack, op9_warc)}
 ORACLES: dict[str, str] = {
     "op9_warc": """
         WITH p AS (
