@@ -322,3 +322,275 @@ _EDGE = "SELECT DISTINCT r.src, r.target AS dst FROM {r} r JOIN {c} a ON r.src =
 )
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.impact(*snapshots(spark, sf_dir))
+
+
+# ---- search ----------------------------------------------------------------------------------
+
+from graphloom.operators import assemble, patterns, search, validate  # noqa: E402
+from graphloom.streaming import incremental  # noqa: E402
+
+_TIER = """SELECT concat('functions/p', p_partkey) AS id,
+  CASE WHEN lower(p_name) = 'ring' THEN 100 WHEN starts_with(lower(p_name), 'ring') THEN 80 WHEN lower(p_brand) = 'ring' THEN 70
+       WHEN contains(lower(p_name), 'ring') THEN 60 WHEN contains(lower(p_type), 'ring') THEN 40 WHEN contains(concat('functions/p', p_partkey), 'ring') THEN 20 END AS score FROM part"""
+
+
+@query(f"SELECT id, score FROM ({_TIER}) WHERE score IS NOT NULL")
+def search_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    entries = p.select(F.concat(F.lit("functions/p"), "p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("type"), F.array("p_brand").alias("tags"))
+    return search.tiered(entries, "Ring ")
+
+
+_BM25 = """WITH d AS (SELECT doc_id AS id, 'title' AS field, 3.0 AS boost, list_filter(regexp_split_to_array(lower(source), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND octet_length(encode(x)) <= 40) AS terms FROM documents
+  UNION ALL SELECT doc_id, 'body', 1.0, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND octet_length(encode(x)) <= 40) FROM documents),
+ s AS (SELECT field, count(*) AS docs, avg(len(terms)) AS mean FROM d GROUP BY field),
+ w AS (SELECT unnest(['the', 'license', 'src3', 'erea']) AS word),
+ t AS (SELECT d.id, d.field, d.boost, w.word, len(list_filter(d.terms, lambda x: x = w.word)) AS tf, len(d.terms) AS n FROM d CROSS JOIN w),
+ f AS (SELECT field, word, count(*) FILTER (tf > 0) AS df FROM t GROUP BY field, word)
+ SELECT t.id, round(sum(t.boost * ln(1 + (s.docs - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.n / s.mean))), 6) AS score
+ FROM t JOIN s ON s.field = t.field JOIN f ON f.field = t.field AND f.word = t.word WHERE t.tf > 0 GROUP BY t.id"""
+
+
+@query(_BM25)
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("body"))
+    return search.bm25(d, "the license src3 erea").select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q"""
+)
+def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector by its cosine to the first one."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = [float(x) for x in v.filter("id = 0").first().embedding]
+    return search.nearest(v, q).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of described concepts that may belong together."""
+    c, r = graph(spark, sf_dir)
+    c = c.select("*", F.lit("SQL").alias("language"), F.col("name").alias("qualified_name"), F.array().cast("array<string>").alias("tags"))
+    c = c.withColumn("description", F.coalesce("description", F.lit(None)))
+    return search.link_candidates(materialize(c, "link-concepts"), r).withColumn("score", F.round("score", 6))
+
+
+# ---- validation ------------------------------------------------------------------------------
+
+
+@query("SELECT 'error' AS severity, 'DuplicateId' AS kind, p_name AS file FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part GROUP BY lower(p_name) HAVING count(*) > 1)")
+def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.duplicate_ids(table(spark, sf_dir, "part").select(F.col("p_name").alias("path"))).drop("message")
+
+
+@query(
+    """SELECT 'error' AS severity, 'DuplicateResource' AS kind, CAST(p_partkey AS VARCHAR) AS file, concat('shared resource ', p_name) AS message FROM part
+    WHERE (p_name, p_size < 10) IN (SELECT p_name, p_size < 10 FROM part GROUP BY 1, 2 HAVING count(*) > 1)"""
+)
+def dup_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return validate.duplicate_resources(p.select(F.col("p_partkey").cast("string").alias("path"), F.col("p_name").alias("resource"), (F.col("p_size") < 10).alias("is_module")))
+
+
+@query("x AS (SELECT 1) SELECT 'error' AS severity, 'MissingTarget' AS kind, src AS file, concat(kind, ' ', target) AS message FROM relationships_after WHERE target NOT IN (SELECT id FROM concepts_after)", _SNAP)
+def relation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.relation_targets(view(spark, sf_dir, "concepts_after"), view(spark, sf_dir, "relationships_after"))
+
+
+# the calls of one snapshot with the called-by of the other: asymmetric where they differ
+_ASYM = "mixed AS (SELECT src, kind, target FROM relationships WHERE kind = 'Calls' UNION SELECT src, kind, target FROM relationships_after WHERE kind = 'CalledBy')"
+
+
+@query(
+    f"""{_ASYM} SELECT 'warning' AS severity, 'Asymmetric' AS kind, m.target AS file, concat('no reverse of ', m.kind, ' from ', m.src) AS message FROM mixed m
+    WHERE m.target IN (SELECT id FROM concepts) AND NOT EXISTS (SELECT 1 FROM mixed b WHERE b.src = m.target AND b.target = m.src AND b.kind <> m.kind)""",
+    _SNAP,
+)
+def relation_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = view(spark, sf_dir, "relationships").filter("kind = 'Calls'")
+    mixed = materialize(calls.unionByName(view(spark, sf_dir, "relationships_after").filter("kind = 'CalledBy'")), "mixed")
+    return validate.relation_symmetry(view(spark, sf_dir, "concepts"), mixed)
+
+
+@query(
+    """x AS (SELECT src, target, resolved_by, CASE WHEN resolver_version IS NULL AND kind = 'CalledBy' THEN 'likely' ELSE confidence END AS confidence,
+       CASE WHEN kind = 'MemberOf' THEN '1' WHEN resolved_by = 'tree-sitter' AND kind = 'Calls' THEN '2' ELSE resolver_version END AS resolver_version FROM relationships)
+    SELECT 'error' AS severity, 'BadConfidence' AS kind, src AS file, concat('confidence of ', target) AS message FROM x WHERE confidence NOT IN ('exact', 'semantic')
+    UNION ALL SELECT 'warning', 'StrayVersion', src, concat('version without a resolver for ', target) FROM x WHERE resolver_version IS NOT NULL AND resolved_by IN ('tree-sitter', '')""",
+    _GRAPH,
+)
+def relation_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = view(spark, sf_dir, "relationships")
+    odd = F.when(F.col("resolver_version").isNull() & (F.col("kind") == "CalledBy"), "likely").otherwise(F.col("confidence"))
+    version = F.when(F.col("kind") == "MemberOf", "1").when((F.col("resolved_by") == "tree-sitter") & (F.col("kind") == "Calls"), "2").otherwise(F.col("resolver_version"))
+    return validate.relation_provenance(r.withColumn("_c", odd).withColumn("resolver_version", version).withColumn("confidence", F.col("_c")).drop("_c"))
+
+
+_HREF = "l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS at FROM pages)"
+
+
+def _hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("at", "link"))
+
+
+@query(f"WITH {_HREF}, known AS (SELECT DISTINCT concat('/', split_part(url, '/', 4)) AS link FROM pages) SELECT page_id, link FROM l WHERE link NOT IN (SELECT link FROM known)")
+def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "pages").select(F.concat(F.lit("/"), F.split_part("url", F.lit("/"), F.lit(4))).alias("link"))
+    return validate.dangling(_hrefs(spark, sf_dir), known, "link").select("page_id", "link")
+
+
+@query(f"WITH {_HREF} SELECT page_id, link, count(*) - 1 AS again FROM l GROUP BY page_id, link HAVING count(*) > 1")
+def redundant_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.repeated(_hrefs(spark, sf_dir), ["page_id", "link"], ["at"]).groupBy("page_id", "link").agg(F.count("*").alias("again"))
+
+
+@query(
+    f"""{_JOINED}, seen AS (SELECT c.id FROM concepts c WHERE c.description IS NOT NULL UNION SELECT k.dst FROM seen s JOIN callc k ON k.src = s.id)
+    SELECT id AS path FROM concepts WHERE id NOT IN (SELECT id FROM seen)""",
+    _GRAPH,
+)
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts that no chain of calls from a described one reaches."""
+    c, r = (materialize(x, "graph") for x in graph(spark, sf_dir))
+    files = c.select(F.col("id").alias("path"))
+    return validate.orphans(files, lookups.call_edges(c, r), c.filter("description is not null").select(F.col("id").alias("path")))
+
+
+# ---- names, assembly, increments ---------------------------------------------------------------
+
+_NAMED = """WITH t AS (SELECT p_partkey, concat('functions/', p_type, '/', replace(p_name, ' ', '_')) AS raw FROM part),
+ n AS (SELECT *, row_number() OVER (PARTITION BY lower(raw) ORDER BY p_partkey) AS k FROM t)"""
+
+
+@query(f"{_NAMED} SELECT p_partkey, raw AS raw_id, CASE WHEN k > 1 THEN concat(raw, '-', k) ELSE raw END AS id FROM n")
+def disambiguate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("functions/"), "p_type", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("id"))
+    return assemble.disambiguate_ids(p, ["p_partkey"])
+
+
+_SYMBOLS = "SELECT concat('functions/p', p_partkey) AS id, concat(p_name, ' ', p_size, ' ', p_brand) AS name FROM part"
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    c = p.select(F.concat(F.lit("functions/p"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), "p_brand").alias("name"), F.lit("Function").alias("kind"))
+    line = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("functions/p"), "l_suppkey").alias("caller_id"), F.concat(F.lit("functions/p"), "l_partkey").alias("id"))
+    return c, line.join(c.select("id", F.col("name").alias("callee_name")), "id").drop("id")
+
+
+@query(
+    f"""WITH c AS ({_SYMBOLS}), n AS (SELECT name, count(*) AS n, min(id) AS callee FROM c GROUP BY name)
+    SELECT concat('functions/p', l_suppkey) AS caller_id, c.name AS callee_name, n.callee FROM lineitem JOIN c ON c.id = concat('functions/p', l_partkey) JOIN n ON n.name = c.name
+    WHERE n.n = 1 AND concat('functions/p', l_suppkey) <> n.callee"""
+)
+def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, calls = _symbols(spark, sf_dir)
+    return assemble.split_ambiguous_calls(materialize(calls, "calls"), c)[0].select("caller_id", "callee_name", "callee")
+
+
+_DIRS = "SELECT p_partkey AS pos, concat('packages/p', p_partkey) AS id, CASE WHEN p_size < 5 THEN '' WHEN p_size < 20 THEN p_type ELSE concat(p_type, '/', p_brand) END AS dir FROM part"
+
+
+@query(
+    f"""WITH p AS ({_DIRS}), d AS (SELECT dir, arg_min(id, pos) AS package FROM p GROUP BY dir),
+    m AS (SELECT concat('modules/p', p_partkey) AS id, concat(p_type, '/', p_brand, '/', replace(p_name, ' ', '_'), '.src') AS file FROM part)
+    SELECT m.id, arg_max(d.package, length(d.dir)) AS package FROM m JOIN d ON d.dir = '' OR m.file = d.dir OR starts_with(m.file, concat(d.dir, '/')) GROUP BY m.id"""
+)
+def link_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    where = F.when(F.col("p_size") < 5, "").when(F.col("p_size") < 20, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
+    packages = p.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("packages/p"), "p_partkey").alias("id"), where.alias("dir"))
+    modules = p.select(F.concat(F.lit("modules/p"), "p_partkey").alias("id"), F.concat("p_type", F.lit("/"), "p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".src")).alias("file"))
+    return assemble.link_modules(materialize(modules, "modules"), packages)
+
+
+_SPAN = "SELECT o_custkey AS file, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS start, CAST(floor(o_totalprice) AS BIGINT) + 1000 + o_orderkey % 997 * 200 AS stop FROM orders"
+
+
+@query(
+    f"""WITH s AS ({_SPAN}), p AS (SELECT o_custkey AS file, o_orderkey AS point, CAST(floor(o_totalprice) AS BIGINT) + 50 AS at FROM orders)
+    SELECT p.file, p.point, arg_min(s.id, (s.stop - s.start, s.id)) AS id FROM p JOIN s ON s.file = p.file AND p.at >= s.start AND p.at < s.stop GROUP BY p.file, p.point"""
+)
+def smallest_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    start = F.floor("o_totalprice").cast("long")
+    spans = o.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("id"), start.alias("start"), (start + 1000 + F.col("o_orderkey") % 997 * 200).alias("end"))
+    points = o.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("point"), (start + 50).alias("at"))
+    return assemble.smallest_containing_any(points, spans).select("file", "point", "id")
+
+
+@query(
+    """SELECT o.o_orderkey AS path, CASE WHEN c.o_orderkey IS NULL THEN 'miss' ELSE 'hit' END AS outcome FROM orders o
+    LEFT JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice < 150000) c ON c.o_orderkey = o.o_orderkey AND c.o_orderstatus = o.o_orderstatus"""
+)
+def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    files = o.select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("hash"))
+    cache = o.filter("o_totalprice < 150000").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("hash"))
+    hit, miss = assemble.split_by_cache(files, cache)
+    return hit.select("path", F.lit("hit").alias("outcome")).unionByName(miss.select("path", F.lit("miss").alias("outcome")))
+
+
+@query(
+    """x AS (SELECT coalesce(b.id, a.id) AS path, CASE WHEN a.id IS NULL THEN 'only_left' WHEN b.id IS NULL THEN 'only_right'
+      WHEN coalesce(b.signature, '') <> coalesce(a.signature, '') THEN 'differs' END AS outcome FROM concepts_before b FULL OUTER JOIN concepts_after a ON a.id = b.id)
+    SELECT path, outcome FROM x WHERE outcome IS NOT NULL""",
+    ("concepts", "concepts_before", "concepts_after"),
+)
+def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda n: view(spark, sf_dir, n).select(F.col("id").alias("path"), F.coalesce("signature", F.lit("")).alias("hash"))
+    return diff.tree_diff(side("concepts_before"), side("concepts_after"))
+
+
+@query(
+    """WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events),
+    b AS (SELECT *, sum(CASE WHEN was IS NULL OR ts - was > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
+    SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS n_events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM b GROUP BY 1, 2"""
+)
+def event_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = incremental.bursts(table(spark, sf_dir, "events"), "user_id", "ts", 30 * 60, ["event_id"])
+    return out.select("user_id", "burst", "n_events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+# ---- names of parts as types and methods -----------------------------------------------------------
+
+_TYPED = """typed AS (
+  SELECT concat('classes/s', s_suppkey) AS id, CASE WHEN s_nationkey < 5 THEN concat('S', s_suppkey, 'Builder') WHEN s_nationkey < 10 THEN concat('S', s_suppkey, 'Factory')
+     WHEN s_nationkey < 15 THEN concat('S', s_suppkey, 'Controller') WHEN s_nationkey < 20 THEN concat('S', s_suppkey, 'Model') ELSE concat('S', s_suppkey) END AS name, 'Class' AS kind, true AS is_public, 0 AS start_line FROM supplier
+  UNION ALL SELECT concat('functions/s', l_suppkey, '/m', l_orderkey, '_', l_linenumber, '_', n),
+     CASE WHEN l_quantity < 5 THEN 'build' WHEN l_quantity < 10 THEN 'get_instance' WHEN l_quantity < 15 THEN concat('visit', l_partkey) WHEN l_quantity < 20 THEN 'create_it' WHEN l_quantity < 25 THEN 'on_change' ELSE 'other' END,
+     'Method', l_returnflag = 'N', CAST(l_orderkey AS INT) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n FROM lineitem) l)"""
+_TYPED_SQL = _TYPED[_TYPED.index("(") + 1 : -1]
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = _TYPED_SQL
+    for t in ("supplier", "lineitem"):
+        sql = sql.replace(f"FROM {t}", f"FROM parquet.`{sf_dir}/{t}.parquet`")
+    return materialize(spark.sql(sql), "typed")
+
+
+_OWNED = f"""WITH {_TYPED}, t AS (SELECT id, name, split_part(id, '/', 2) AS owner FROM typed WHERE kind = 'Class'),
+ m AS (SELECT id, name, lower(name) AS low, split_part(id, '/', 2) AS owner, start_line, is_public FROM typed WHERE kind = 'Method'), o AS (SELECT t.id, t.name, m.name AS method, m.low, m.start_line, m.id AS mid FROM t JOIN m ON m.owner = t.owner)"""
+
+
+@query(
+    f"""{_OWNED} SELECT 'Builder' AS pattern, id, arg_min(method, (start_line, mid)) AS evidence FROM o WHERE lower(name) LIKE '%builder' AND low = 'build' GROUP BY id
+    UNION ALL SELECT 'Singleton', id, arg_min(method, (start_line, mid)) FROM o WHERE low = 'get_instance' GROUP BY id
+    UNION ALL SELECT 'Factory', id, name FROM m WHERE starts_with(low, 'create_')
+    UNION ALL SELECT 'Factory', m.id, t.name FROM m JOIN t ON t.owner = m.owner WHERE NOT starts_with(m.low, 'create_') AND lower(t.name) LIKE '%factory'
+    UNION ALL SELECT 'Visitor', id, concat(count(*), ' visit methods') FROM o WHERE starts_with(low, 'visit') GROUP BY id HAVING count(*) >= 2"""
+)
+def design_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.detect_patterns(_typed(spark, sf_dir))
+
+
+@query(
+    f"""{_OWNED} SELECT 'RestEndpoint' AS feature, m.id, t.name AS evidence FROM m JOIN t ON t.owner = m.owner WHERE m.is_public AND t.name LIKE '%Controller'
+    UNION ALL SELECT 'DatabaseModel', id, 'Model' FROM t WHERE name LIKE '%Model'
+    UNION ALL SELECT 'EventFlow', id, 'subscribes to' FROM m WHERE starts_with(low, 'on_')"""
+)
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.detect_features(_typed(spark, sf_dir))
