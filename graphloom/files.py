@@ -26,3 +26,20 @@ def writing(uri: str):
 def reading(uri: str):
     fs, path = open_fs(uri)
     return fs.open_input_file(path)
+
+
+def listing(folder: str) -> list[tuple[str, int, str]]:
+    """(relative path, bytes, time of the last change) of all files below, by metadata alone.
+
+    Spark's own file sources skip names that begin with an underscore, which are common in
+    bundles, so names are listed here once and contents read by tasks.
+    """
+    fs, root = open_fs(folder.rstrip("/"))
+    found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted((x.path[len(root) + 1 :], x.size, str(x.mtime)) for x in found if x.type == pafs.FileType.File)
+
+
+def read_below(folder: str, path: str) -> bytes:
+    fs, root = open_fs(folder.rstrip("/"))
+    with fs.open_input_file(f"{root}/{path}") as f:
+        return f.read()

@@ -62,7 +62,7 @@ def smallest_containing(points: DataFrame, spans: DataFrame, on: str = "file") -
     before = Window.partitionBy(on).orderBy("_at", "_side", F.desc("_span.end")).rowsBetween(Window.unboundedPreceding, 0)
     open_ = F.filter(F.collect_list("_span").over(before), lambda x: x["end"] > F.col("_at"))
     found = both.withColumn("_open", open_).filter("_side = 1")
-    best = F.try_element_at("_open", F.size("_open"))
+    best = F.try_element_at("_open", F.lit(-1))
     return found.select(F.col(on), "_p.*", best["id"].alias("id")).filter("id is not null")
 
 

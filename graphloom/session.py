@@ -40,6 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the batches in which texts go to Python, where the session has the defaults.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the default 10,000 rows: texts are long, executors small."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if int(spark.conf.get(size).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.files import listing, read_below
 from graphloom.schema import CONCEPT_SCHEMA, KIND_ORDER, LANGUAGES, RELATION_KEYS, RELATION_ORDER, RELATION_SCHEMA, conform
 
 SIGNATURE_HEADING = "# Signature"
@@ -21,11 +23,16 @@ SIGNATURE_HEADING = "# Signature"
 
 def bundle_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of all markdown files, paths relative to the folder, line ends as \\n."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
-    full = F.url_decode(F.col("_metadata.file_path"))
-    root = folder.split("://", 1)[-1].rstrip("/") + "/"
-    path = F.substring_index(full, root, -1)
-    return raw.select(path.alias("path"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("content"))
+    names = [(p,) for p, *_ in listing(folder) if p.endswith(".md")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                texts = [read_below(folder, p).decode("utf-8", "replace").replace("\r\n", "\n") for p in part.column("path").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(texts, pa.string())], ["path", "content"])
+
+    return spark.createDataFrame(names, "path string").mapInArrow(read, "path string, content string")
 
 
 def split_frontmatter(content: str) -> tuple[str | None, str]:

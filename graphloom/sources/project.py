@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.files import listing, read_below
 from graphloom.schema import EXTENSION
 
 VENDORED = ("node_modules", "vendor", "target", "dist", "third_party")
@@ -157,15 +158,13 @@ def import_dita(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     """Topics as Document concepts (id, name, description, file), and (file, error) of the skipped ones."""
     import xml.etree.ElementTree as ET
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.col("path").rlike(r"\.(dita|xml)$"))
-    root = folder.split("://", 1)[-1].rstrip("/") + "/"
-    rel = F.substring_index("path", root, -1)
+    names = spark.createDataFrame([(p,) for p, *_ in listing(folder) if p.endswith((".dita", ".xml"))], "file string")
 
-    def parse(path: pa.Array, content: pa.Array) -> pa.Array:
+    def parse(path: pa.Array) -> pa.Array:
         out = []
-        for p, raw in zip(path.to_pylist(), content.to_pylist()):
+        for p in path.to_pylist():
             try:
-                top = ET.fromstring(raw)
+                top = ET.fromstring(read_below(folder, p))
             except ET.ParseError as e:
                 out.append({"id": None, "name": None, "description": None, "error": str(e)})
                 continue
@@ -177,5 +176,5 @@ def import_dita(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
         return pa.array(out, pa.struct([(k, pa.string()) for k in ("id", "name", "description", "error")]))
 
     kind = T.StructType([T.StructField(k, T.StringType()) for k in ("id", "name", "description", "error")])
-    rows = raw.select(rel.alias("file"), F.arrow_udf(parse, kind)(rel, "content").alias("x")).select("file", "x.*").cache()
+    rows = names.select("file", F.arrow_udf(parse, kind)("file").alias("x")).select("file", "x.*").cache()
     return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("file", "error")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.files import listing
 from graphloom.session import shared_path
 
 VERSION = "1"
@@ -26,7 +27,8 @@ def bursts(events: DataFrame, key: str, ts: str, gap_s: float, ties: list[str])
 
 def burst_stream(changes: DataFrame, ts: str, gap: str, lateness: str = "0 seconds") -> DataFrame:
     """The same over a stream of changes (path, ts): one row for each closed burst."""
-    return changes.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap).alias("burst")).agg(F.count("*").alias("n_changes"), F.collect_set("path").alias("paths"))
+    keyed = changes.withColumn("_all", F.lit(0)).withWatermark(ts, lateness)  # sessions need a key in streams
+    return keyed.groupBy("_all", F.session_window(ts, gap).alias("burst")).agg(F.count("*").alias("n_changes"), F.collect_set("path").alias("paths"))
 
 
 def watch(changes: DataFrame, ts: str, gap: str, regenerate: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -78,11 +80,10 @@ def refresh(files: DataFrame, cache: ExtractionCache, extract: Callable[[DataFra
     return cache.load(schema), counts
 
 
-def fingerprint(spark: SparkSession, folder: str) -> tuple[int, int, str | None]:
+def fingerprint(folder: str) -> tuple[int, int, str | None]:
     """(files, bytes, latest change) from metadata alone."""
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
-    n, size, last = meta.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.max("modificationTime")).first()
-    return n, size, str(last) if last else None
+    files = listing(folder)
+    return len(files), sum(n for _, n, _ in files), max((t for *_, t in files), default=None)
 
 
 class BundleCache:
@@ -93,7 +94,7 @@ class BundleCache:
         self.held: dict[str, tuple] = {}
 
     def get(self, folder: str) -> tuple[DataFrame, DataFrame]:
-        mark = fingerprint(self.spark, folder)
+        mark = fingerprint(folder)
         if folder not in self.held or self.held[folder][0] != mark:
             for df in self.held.pop(folder, (None, ()))[1]:
                 df.unpersist()
