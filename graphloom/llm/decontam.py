@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.files import reading, writing
+from graphloom.llm.memory import release
 from graphloom.llm.names import GIVEN
 from graphloom.session import materialize, parts_for, shared_path
 
@@ -50,7 +51,7 @@ _CLEAN = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90
 _P = 0x9E3779B97F4A7C15 | 1
 
 _kinds: dict[str, tuple[int, int]] = {}
-_TABLE = 400_000
+_TABLE = 300_000
 
 
 def _kind(word: str) -> int:
@@ -138,6 +139,7 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, Streams]]:
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield a, Streams(texts.slice(a, b - a))
+            release()
 
 
 _WINDOWS = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])

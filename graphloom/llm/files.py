@@ -34,14 +34,6 @@ def save_array(uri: str, array: np.ndarray) -> None:
         np.save(out, array)
 
 
-_arrays: dict[str, np.ndarray] = {}
-
-
-def load_array(uri: str, keep: int = 8) -> np.ndarray:
-    """An array that many tasks of a process read; the last few stay in memory."""
-    if uri not in _arrays:
-        while len(_arrays) >= keep:
-            _arrays.pop(next(iter(_arrays)))
-        with reading(uri) as f:
-            _arrays[uri] = np.load(f)
-    return _arrays[uri]
+def load_array(uri: str) -> np.ndarray:
+    with reading(uri) as f:
+        return np.load(f)

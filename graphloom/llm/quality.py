@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.memory import release
 from graphloom.session import materialize
 
 TREES, SUBSAMPLE = 100, 256
@@ -126,7 +127,9 @@ def count_texts(texts: pa.Array) -> np.ndarray:
     sizes = np.cumsum(np.asarray(pc.binary_length(texts))) // BLOCK
     cuts = set((np.flatnonzero(np.diff(sizes)) + 1).tolist()) | set(range(0, len(texts), 30_000)) | {len(texts)}
     cuts = sorted(cuts)
-    return np.concatenate([_block(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+    counts = np.concatenate([_block(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+    release()
+    return counts
 
 
 def ratios(counts: np.ndarray) -> np.ndarray:

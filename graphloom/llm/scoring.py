@@ -45,13 +45,16 @@ def _slots(ids: np.ndarray, starts: np.ndarray, begin: int, bits: int) -> tuple[
     return context, ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _ids(texts: pa.Array, tokenizer: str | None, size: int = 4000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _ids(texts: pa.Array, tokenizer: str | None, size: int = 4000, tokens: int = 500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of documents: first row, all ids, and where each document starts (and the end)."""
     enc = encoder(tokenizer)
     for i in range(0, len(texts), size):
         got = enc.encode(texts.slice(i, size))
-        bounds = np.append(0, np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4))
-        yield i, np.frombuffer(b"".join(got), "<u4").astype(np.int64), bounds
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)
+        cuts = sorted({0, len(got), *(np.flatnonzero(np.diff(ends // tokens)) + 1).tolist()})
+        for a, b in zip(cuts, cuts[1:]):
+            bounds = np.append(0, ends[a:b] - (ends[a - 1] if a else 0))
+            yield i + a, np.frombuffer(b"".join(got[a:b]), "<u4").astype(np.int32), bounds
 
 
 @dataclass
@@ -65,14 +68,15 @@ class Model:
 
     def load(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs [2, buckets], contexts [2, v + 1] and log-free unigram shares [2, v], size-matched."""
-        pairs = np.concatenate([load_array(f, 64) for f in self.pair_files], 1)
-        single = load_array(self.single_file, 64).astype(np.float64)
+        pairs = np.concatenate([load_array(f) for f in self.pair_files], 1)
+        single = load_array(self.single_file).astype(np.float64)
         context, words = single[:2], single[2:, : self.vocabulary]
         mass = words.sum(1)
         scale = np.array([1.0, mass[0] / mass[1] if mass[0] and mass[1] else 1.0])[:, None]
         words = words * scale
         share = (words + UNIFORM) / (words.sum(1, keepdims=True) + UNIFORM * self.vocabulary)
-        return (pairs * scale).astype(np.float32), context * scale + PRIOR, PRIOR * share
+        pairs *= scale.astype(np.float32)
+        return pairs, context * scale + PRIOR, PRIOR * share
 
 
 def _flush(arrays: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -111,18 +115,20 @@ def fit(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None) -> Mod
     good = good.agg(F.min((fine & harmless).cast("int")).alias("ok")).filter("ok = 1").select("doc_id", F.lit(True).alias("target"))
     salted = good.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int").alias("salt"))
-    marked = rows.join(salted, ["doc_id", "salt"], "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # the same plan at every size: a broadcast of the labels would be one without a bound
+    marked = rows.join(salted.hint("merge"), ["doc_id", "salt"], "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 1 << bits
-        arrays = {"pairs": np.zeros((2, n), np.int64), "single": np.zeros((4, vocabulary + 1), np.int64)}
+        arrays = {"pairs": np.zeros((2, n), np.uint32), "single": np.zeros((4, vocabulary + 1), np.int64)}
         for batch in batches:
             target = np.asarray(batch.column("target").to_numpy(zero_copy_only=False))
             for first, ids, bounds in _ids(batch.column("text"), tokenizer):
                 context, slot = _slots(ids, bounds[:-1], vocabulary, bits)
                 mine = np.repeat(target[first : first + len(bounds) - 1], np.diff(bounds))
                 for side, (c, w, s) in ((0, (context[mine], ids[mine], slot[mine])), (1, (context, ids, slot))):
-                    arrays["pairs"][side] += np.bincount(s, minlength=n)
+                    at, times = np.unique(s, return_counts=True)
+                    arrays["pairs"][side][at] += times.astype(np.uint32)
                     arrays["single"][side] += np.bincount(c, minlength=vocabulary + 1)
                     arrays["single"][2 + side] += np.bincount(w, minlength=vocabulary + 1)
         yield from _flush(arrays)

@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from graphloom.llm.memory import release
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids one process keeps; a full table keeps what the block at hand uses.
-WORD_TABLE = 900_000
+WORD_TABLE = 450_000
 #: Bytes of text whose words are told apart at a time; words put together at a time.
-BLOCK, SLICE = 24_000_000, 1_000_000
+BLOCK, SLICE = 16_000_000, 1_000_000
 _SAFE_SPACE = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _SIGNS = ".,;:!?*#$%&|()\"<>=+/-"
@@ -208,6 +210,7 @@ class WordEncoder:
             for a, b in zip(bounds, bounds[1:]):
                 if b > a:
                     out += self._block(texts[a:b])
+                    release()
             return out
         finally:
             if was:
