@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from graphloom.llm.files import reading, writing
 from graphloom.llm.memory import release
 from graphloom.llm.names import GIVEN
-from graphloom.session import materialize, parts_for, shared_path
+from graphloom.session import materialize, parts_for, shared_path, text_batches
 
 WINDOW, SHORTEST, LEAST_WORDS = 8, 4, 4
 INDEX_ROWS = 2_000_000
@@ -224,6 +224,7 @@ def _index(uri: str) -> Index:
 def build_index(benchmark: DataFrame, window: int = WINDOW, index_rows: int = INDEX_ROWS) -> list[str]:
     """Index files of at most about ``index_rows`` windows each, cut by a hash of the window."""
     spark = benchmark.sparkSession
+    text_batches(spark)
     table = materialize(benchmark_windows(benchmark, window), "bench-windows")
     n = parts_for(table.count(), index_rows)
     root = shared_path(spark, "bench-index")

@@ -1,32 +1,12 @@
-"""Whole files in the shared folder, written and read from tasks."""
+"""Arrays as files in the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-from contextlib import contextmanager
-
 import numpy as np
-import pyarrow.fs as pafs
-
-
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-
-
-@contextmanager
-def writing(uri: str):
-    """A stream to ``uri`` that appears whole or not at all, also when a task is run twice."""
-    fs, path = _fs(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    temp = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(temp) as out:
-        yield out
-    fs.move(temp, path)
 
+from graphloom.files import reading, writing
 
-def reading(uri: str):
-    fs, path = _fs(uri)
-    return fs.open_input_file(path)
+__all__ = ["load_array", "reading", "save_array", "writing"]
 
 
 def save_array(uri: str, array: np.ndarray) -> None:

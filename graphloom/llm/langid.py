@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import text_batches
+
 TRAIN_ROWS = 4000
 DIMENSIONS = 1 << 13
 ORDERS = (2, 3, 4)
@@ -188,6 +190,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every document."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _blocks(batch):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.tokens import encoder
-from graphloom.session import materialize, parts_for
+from graphloom.session import materialize, parts_for, text_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of a group, islands of a group, rounds with a migration between them, offspring of a round.
@@ -270,13 +270,14 @@ def pack(
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of every document's ids and end id; only the first of several may be shorter."""
+    text_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, 8000):
-                some = batch.slice(i, 8000)
+            for i in range(0, batch.num_rows, 4000):
+                some = batch.slice(i, 4000)
                 rows: list[tuple] = []
                 for doc, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text"))):
                     ids += end

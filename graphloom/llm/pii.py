@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.names import BY_KIND, GIVEN
-from graphloom.session import materialize
+from graphloom.session import materialize, text_batches
 
 BROADCAST_ROWS = 100_000
 MAX_ATTEMPTS = 50
@@ -249,6 +249,8 @@ def _likely(texts: pa.Array) -> list[int]:
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (type, value) parts of all texts, with equal ones merged before the shuffle."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.memory import release
-from graphloom.session import materialize
+from graphloom.session import materialize, text_batches
 
 TREES, SUBSAMPLE = 100, 256
 #: Least words, and largest share of words in repeated windows, of the base rules.
@@ -231,6 +231,7 @@ def _arrow(names: list[str], arrays: list) -> pa.RecordBatch:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the counts of every text, in one pass without a shuffle."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.files import load_array, save_array
 from graphloom.llm.tokens import encoder
-from graphloom.session import materialize, shared_path, shuffle_width
+from graphloom.session import materialize, shared_path, shuffle_width, text_batches
 
 BYTES_PER_BUCKET, LEAST_BITS, MOST_BITS = 256, 16, 26
 SHARDS, SALTS = 16, 16
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None) -> Mod
     doc_id of many rows is not one task.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(size // BYTES_PER_BUCKET).bit_length()))
     vocabulary = encoder(tokenizer).tokenizer.get_vocab_size()

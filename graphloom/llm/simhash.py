@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators.fixpoint import connected_components
-from graphloom.session import materialize, parts_for, shuffle_width
+from graphloom.session import materialize, parts_for, shuffle_width, text_batches
 
 DISTANCE = 6
 #: Fingerprints from which the plan's costs are estimated; entries of a bucket; pairs verified at a time.
@@ -321,6 +321,7 @@ def _by_class(rows: DataFrame, classes: DataFrame, total: int, on: str = "fp") -
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_udf("text").alias("fp"))
 
 
@@ -335,6 +336,7 @@ def cluster(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def first_of_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, with all its columns: the least doc_id, and of rows that share
     it the one with the least fingerprint, then any."""
+    text_batches(docs.sparkSession)
     tagged = docs.withColumn("_fp", fingerprint_udf("text"))
     fps = materialize(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
     classes = materialize(near_duplicates(fps, distance), "near")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.files import reading, writing
 from graphloom.llm.tokens import encoder
-from graphloom.session import materialize, shared_path, shuffle_width
+from graphloom.session import materialize, shared_path, shuffle_width, text_batches
 
 END_ID = 2
 SAMPLE = 256
@@ -141,7 +141,7 @@ def _write_shard(uri: str, batches: Iterator[pa.RecordBatch], tokenizer: str | N
             texts, ids = batch.column("text"), batch.column("doc_id")
             nulls += ids.null_count
             keys.append(np.asarray(ids.drop_null(), np.int64))
-            step = 8000
+            step = 4000
             for i in range(0, len(texts), step):
                 got = enc.encode(texts.slice(i, step))
                 lengths.append(np.fromiter(map(len, got), np.int64, len(got)) // 4 + 1)
@@ -179,6 +179,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     from pyspark import TaskContext
 
     spark = docs.sparkSession
+    text_batches(spark)
     root = shared_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
