@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.fixpoint import connected_components, longest_layers, strong_components
 from graphloom.operators.lookups import module_dependencies, owning_package
+from graphloom.session import materialize
 
 
 def package_edges(c: DataFrame, r: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def package_dependencies(c: DataFrame, r: DataFrame) -> DataFrame:
 def layers(c: DataFrame, r: DataFrame) -> DataFrame:
     """(id, layer): 0 without dependencies, else above all of them; a cycle shares one layer."""
     packages = c.filter("kind = 'Package'").select(F.col("id").alias("node"))
-    edges = package_dependencies(c, r)
-    scc = strong_components(edges.unionByName(packages.select(F.col("node").alias("src"), F.col("node").alias("dst"))))
+    edges = materialize(package_dependencies(c, r), "package-edges")
+    scc = materialize(strong_components(edges.unionByName(packages.select(F.col("node").alias("src"), F.col("node").alias("dst")))), "package-scc")
     a = scc.select(F.col("node").alias("src"), F.col("component").alias("a"))
     b = scc.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     condensed = edges.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import materialize
+from graphloom.files import reading, writing
+from graphloom.session import materialize, shared_path, shuffle_width
 
 #: Largest edge table that one task holds (two 8-byte numbers an edge).
 SMALL_EDGES = 4_000_000
@@ -202,13 +203,111 @@ def _coloured_components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("strong components did not converge")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+class _Adjacency:
+    """A small graph as sorted nodes and their successors, read from its file once per process."""
+
+    held: dict[str, _Adjacency] = {}
+
+    def __init__(self, uri: str):
+        with reading(uri) as f:
+            table = pa.ipc.open_file(f).read_all()
+        src, dst = table.column("src"), table.column("dst")
+        self.nodes, a, b = _coded(src, dst)
+        order = np.argsort(a, kind="stable")
+        self.to = b[order].tolist()
+        self.first = np.searchsorted(a[order], np.arange(len(self.nodes) + 1)).tolist()
+
+    @classmethod
+    def of(cls, uri: str) -> _Adjacency:
+        if uri not in cls.held:
+            cls.held.clear()
+            cls.held[uri] = cls(uri)
+        return cls.held[uri]
+
+    def levels(self, seeds: list[int], max_depth: int | None) -> dict[int, int]:
+        depth = dict.fromkeys(seeds, 0)
+        front, d = list(depth), 0
+        while front and (max_depth is None or d < max_depth):
+            d += 1
+            new = []
+            for x in front:
+                for y in self.to[self.first[x] : self.first[x + 1]]:
+                    if y not in depth:
+                        depth[y] = d
+                        new.append(y)
+            front = new
+        return depth
+
+
+def _reachable_by_start(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
+    """Every task searches from its own starts in the whole graph, which is a file of bounded size."""
+    spark = edges.sparkSession
+    uri = shared_path(spark, "adjacency") + ".arrow"
+    kind, start = edges.schema["src"].dataType.simpleString(), seeds.schema["start"].dataType.simpleString()
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))
+        with writing(uri) as out, pa.ipc.new_file(out, whole.schema) as f:
+            f.write_table(whole)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([whole.num_rows], pa.int64())})
+
+    found = edges.limit(1).count() > 0
+    if found:
+        edges.coalesce(1).mapInArrow(save, "n long").collect()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Seeds come sorted by start; those without an edge are their own only result."""
+        graph = _Adjacency.of(uri) if found else None
+        now, known, rows = None, [], [[], [], []]
+        lone: list = []
+
+        def flush(done) -> None:
+            if known:
+                levels = graph.levels(known, max_depth)
+                ids = graph.nodes.take(pa.array(list(levels))).to_pylist()
+                rows[0] += [done] * len(ids)
+                rows[1] += ids
+                rows[2] += levels.values()
+            rows[0] += [done] * len(lone)
+            rows[1] += lone
+            rows[2] += [0] * len(lone)
+
+        def batch_of(like: pa.RecordBatch) -> pa.RecordBatch:
+            cols = [pa.array(rows[0], like.column("start").type), pa.array(rows[1], like.column("node").type), pa.array(rows[2], pa.int32())]
+            for r in rows:
+                r.clear()
+            return pa.RecordBatch.from_arrays(cols, ["start", "node", "depth"])
+
+        batch = None
+        for batch in batches:
+            at = pa.compute.index_in(batch.column("node"), value_set=graph.nodes) if found else pa.nulls(batch.num_rows, pa.int32())
+            for s, node, i in zip(batch.column("start").to_pylist(), batch.column("node").to_pylist(), at.to_pylist()):
+                if s != now:
+                    flush(now)
+                    known, lone, now = [], [], s
+                    if len(rows[0]) > 50_000:
+                        yield batch_of(batch)
+                if i is None:
+                    lone.append(node)
+                else:
+                    known.append(i)
+        if batch is not None:
+            flush(now)
+            yield batch_of(batch)
+
+    rows = seeds.select("start", "node").distinct().repartition(shuffle_width(spark), "start").sortWithinPartitions("start")
+    return rows.mapInArrow(search, f"start {start}, node {kind}, depth int")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, small: int = SMALL_EDGES) -> DataFrame:
     """Breadth-first levels: (start, node, depth) with each node at its least depth.
 
-    ``edges`` (src, dst), ``seeds`` (start, node). The seeds have depth 0. Each round sends
-    only the new frontier, and a node is sent once per start.
+    ``edges`` (src, dst), ``seeds`` (start, node), without nulls. The seeds have depth 0. For
+    large graphs each round sends only the new frontier, and a node is sent once per start.
     """
-    edges = materialize(edges.select("src", "dst").distinct(), "bfs-edges")
+    edges = materialize(edges.select("src", "dst").dropna().distinct(), "bfs-edges")
+    if edges.count() <= small:
+        return _reachable_by_start(edges, seeds, max_depth)
     front = materialize(seeds.select("start", "node", F.lit(0).alias("depth")).distinct(), "bfs")
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
@@ -224,9 +323,34 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     return seen
 
 
-def longest_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def longest_layers(edges: DataFrame, nodes: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(node, layer): 0 without out-edges, else 1 + the largest layer of the targets; acyclic input."""
     edges = materialize(edges.select("src", "dst").distinct(), "layer-edges")
+    if edges.count() <= small:
+        kind = edges.schema["src"].dataType.simpleString()
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, a, b = _coded(*_column(batches, ["src", "dst"]))
+            if not len(names):
+                return
+            layer, left = np.zeros(len(names), np.int32), np.bincount(a, minlength=len(names))
+            order = np.argsort(b, kind="stable")
+            callers, first = a[order], np.searchsorted(b[order], np.arange(len(names) + 1))
+            ready, n = np.flatnonzero(left == 0).tolist(), 0
+            while ready:
+                x = ready.pop()
+                n += 1
+                for y in callers[first[x] : first[x + 1]].tolist():
+                    layer[y] = max(layer[y], layer[x] + 1)
+                    left[y] -= 1
+                    if not left[y]:
+                        ready.append(y)
+            if n < len(names):
+                raise RuntimeError("layers need an acyclic input")
+            yield pa.RecordBatch.from_arrays([names, pa.array(layer)], ["node", "layer"])
+
+        some = edges.coalesce(1).mapInArrow(solve, f"node {kind}, layer int")
+        return nodes.select("node").join(some, "node", "left").select("node", F.coalesce("layer", F.lit(0)).alias("layer"))
     layer = materialize(nodes.select("node", F.lit(0).alias("layer")), "layer")
     for _ in range(MAX_ROUNDS * 10):
         up = edges.join(layer, edges.dst == layer.node).groupBy("src").agg((F.max("layer") + 1).alias("up"))

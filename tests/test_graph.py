@@ -80,7 +80,16 @@ def test_both_ways_of_fixpoints_agree(spark, seed):
     for f in (fixpoint.connected_components, fixpoint.strong_components):
         small, large = ({(x.node, x.component) for x in f(edges, n).collect()} for n in (1000, 0))
         assert small == large
+    seeds = spark.createDataFrame([(s, n) for s, n in ((0, 0), (1, 1), (2, 2), (9, 3), (9, 4), (8, 999))], "start long, node long")
+    for depth in (None, 2):
+        small, large = ({tuple(x) for x in fixpoint.reachable(edges, seeds, depth, n).collect()} for n in (1000, 0))
+        assert small == large and (8, 999, 0) in small
+    dag = edges.filter("src > dst")
+    nodes = spark.range(50).withColumnRenamed("id", "node")
+    small, large = ({tuple(x) for x in fixpoint.longest_layers(dag, nodes, n).collect()} for n in (1000, 0))
+    assert small == large and len(small) == 50
     none = edges.limit(0)
+    assert fixpoint.reachable(none, seeds).count() == 6 and fixpoint.longest_layers(none, nodes).count() == 50
     assert fixpoint.connected_components(none).count() == 0 and fixpoint.strong_components(none).count() == 0
 
 
