@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.files import reading, writing
-from graphloom.llm.memory import release
+from graphloom.llm.memory import claim, register, release
 from graphloom.llm.names import GIVEN
 from graphloom.session import materialize, parts_for, shared_path, text_batches
 
@@ -131,6 +131,7 @@ class Streams:
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, Streams]]:
+    claim("decontam")
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -214,6 +215,14 @@ def consistent(pairs: list[tuple[list[str], list[str]]]) -> bool:
 _indexes: dict[str, Index] = {}
 
 
+def _clear() -> None:
+    _indexes.clear()
+    _kinds.clear()
+
+
+register("decontam", _clear)
+
+
 def _index(uri: str) -> Index:
     if uri not in _indexes:
         _indexes.clear()

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.memory import claim, register
 from graphloom.llm.names import BY_KIND, GIVEN
 from graphloom.session import materialize, text_batches
 
@@ -151,7 +152,7 @@ def _local(phone: str) -> str:
     return phone[len(_country(phone)) :]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The surrogate of a normal value, in the same normal form."""
     tweak = f"{kind}#{attempt}"
@@ -241,7 +242,11 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
     return "".join([*parts, text[at:]]), [k for *_, k in found]
 
 
+register("pii", surrogate.cache_clear)
+
+
 def _likely(texts: pa.Array) -> list[int]:
+    claim("pii")
     mask = pc.match_substring_regex(texts.cast(pa.large_string()), _MAYBE).fill_null(False)
     return pc.indices_nonzero(mask).to_pylist()
 

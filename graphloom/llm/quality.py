@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.memory import release
+from graphloom.llm.memory import claim, release
 from graphloom.session import materialize, text_batches
 
 TREES, SUBSAMPLE = 100, 256
@@ -119,6 +119,7 @@ def _block(texts: pa.LargeStringArray) -> np.ndarray:
 
 
 def count_texts(texts: pa.Array) -> np.ndarray:
+    claim("quality")
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

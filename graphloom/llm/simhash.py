@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.memory import claim
 from graphloom.operators.fixpoint import connected_components
 from graphloom.session import materialize, parts_for, shuffle_width, text_batches
 
@@ -57,6 +58,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
+    claim("simhash")
     return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from graphloom.llm.memory import release
+from graphloom.llm.memory import claim, register, release
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids one process keeps; a full table keeps what the block at hand uses.
@@ -194,6 +194,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of every text as bytes; a null text is an empty one."""
+        claim("tokens")
         if not isinstance(texts, (pa.Array, pa.ChunkedArray)):
             texts = pa.array(texts, pa.large_string())
         if isinstance(texts, pa.ChunkedArray):
@@ -218,6 +219,7 @@ class WordEncoder:
 
 
 _encoders: dict[tuple, WordEncoder] = {}
+register("tokens", _encoders.clear)
 
 
 def encoder(path: str | None = None, literal_specials: bool = False) -> WordEncoder:
