@@ -62,6 +62,57 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], room: li
             mask |= 1 << r
 
 
+def exact_fill(sizes: list[int], items: list[int], capacity: int, near_half: bool) -> list[list[int]]:
+    """Bins from the largest item down, closed exactly by one or two more items where sizes allow.
+
+    ``free`` has a bit for every size at hand and ``turned`` one for its distance to the
+    capacity, so both ends of every exact pair show in one shift.
+    """
+    by_size: list[list[int]] = [[] for _ in range(capacity + 1)]
+    free = turned = 0
+    for i in items:
+        by_size[sizes[i]].append(i)
+    for s in range(1, capacity + 1):
+        if by_size[s]:
+            free |= 1 << s
+            turned |= 1 << capacity - s
+    bins = []
+
+    def take(s: int) -> int:
+        nonlocal free, turned
+        stack = by_size[s]
+        i = stack.pop()
+        if not stack:
+            free ^= 1 << s
+            turned ^= 1 << capacity - s
+        return i
+
+    while free:
+        s = free.bit_length() - 1
+        now, room = [take(s)], capacity - s
+        while room:
+            if by_size[room]:
+                now.append(take(room))
+                break
+            pairs = free & (turned >> capacity - room)
+            half = room >> 1
+            if not room & 1 and pairs >> half & 1 and len(by_size[half]) < 2:
+                pairs ^= 1 << half
+            if pairs:
+                high = pairs >> half + (room & 1)
+                x = half + (room & 1) + ((high & -high).bit_length() if near_half else high.bit_length()) - 1
+                now += [take(x), take(room - x)]
+                break
+            fits = free & ((1 << room) - 1)
+            if not fits:
+                break
+            x = fits.bit_length() - 1
+            now.append(take(x))
+            room -= x
+        bins.append(now)
+    return bins
+
+
 class Packer:
     """The packing problem of one group: solutions are (bins, room)."""
 
@@ -86,6 +137,10 @@ class Packer:
         best_fit(self.sizes, order, bins, room, self.capacity)
         return bins, room
 
+    def exact(self, near_half: bool) -> tuple:
+        bins = exact_fill(self.sizes, self.order, self.capacity, near_half)
+        return bins, [self.capacity - sum(map(self.sizes.__getitem__, b)) for b in bins]
+
     def _refill(self, bins: list[list[int]], room: list[int], loose: list[int]) -> tuple:
         loose.sort(key=self.sizes.__getitem__, reverse=True)
         best_fit(self.sizes, loose, bins, room, self.capacity)
@@ -109,7 +164,7 @@ class Packer:
     def mutate(self, s: tuple) -> tuple:
         """Empty the bins with most room and a few others, and refill."""
         rnd = self.random.random
-        worst = set(sorted(range(len(s[0])), key=s[1].__getitem__)[-max(2, len(s[0]) // 50) :])
+        worst = set(sorted(range(len(s[0])), key=s[1].__getitem__)[-max(8, len(s[0]) // 20) :])
         bins, room, loose = [], [], []
         for b, (items, r) in enumerate(zip(*s)):
             if b in worst or rnd() < 0.01:
@@ -117,12 +172,16 @@ class Packer:
             else:
                 bins.append(list(items))
                 room.append(r)
+        if rnd() < 0.5:
+            loose.sort(key=self.sizes.__getitem__, reverse=True)
+            own = exact_fill(self.sizes, loose, self.capacity, rnd() < 0.5)
+            return bins + own, room + [self.capacity - sum(map(self.sizes.__getitem__, b)) for b in own]
         return self._refill(bins, room, loose)
 
     def evolve(self, guests: list[tuple], offspring: int) -> tuple:
         people = [*guests, self.decreasing()]
         if len(people[-1][0]) > self.least:
-            people += [self.decreasing(0.3) for _ in range(_POPULATION - 1)]
+            people += [self.exact(True), self.exact(False), *(self.decreasing(0.3) for _ in range(_POPULATION - 3))]
         people.sort(key=self.fitness, reverse=True)
         for _ in range(offspring):
             if len(people[0][0]) <= self.least:
