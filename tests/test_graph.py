@@ -133,6 +133,21 @@ def test_provenance_classes(spark, before, after, want):
     assert summary.source == want.count("Source") and summary.resolver + summary.confidence == len(want) - want.count("Source")
 
 
+def test_review_and_freshness(spark):
+    c, r = graph(spark, [("b", "a"), ("c", "b")])
+    later, r2 = graph(spark, [("b", "a"), ("c", "b"), ("c", "d")])
+    found = diff.impact((c, r), (later, r2))
+    rows = {x.id: (x.change, x.n_blast) for x in found.collect()}
+    assert rows == {"d": ("added", 1), "c": ("changed", 0)}
+    assert diff.review(found, 1) and not diff.review(found, 2)
+    assert "| d | added | 1 | yes | no |" in diff.render_review(found)
+    assert diff.blast_total(c, r, spark.createDataFrame([("a",), ("b",)], "start string")).first().n == 2
+    one = spark.createDataFrame([("index.md", "x\nsource_revision: a\ny"), ("f.md", "1")], "path string, content string")
+    two = spark.createDataFrame([("index.md", "x\nsource_revision: b\ny"), ("f.md", "2")], "path string, content string")
+    assert [(x.path, x.outcome) for x in diff.check_fresh(one, two).collect()] == [("f.md", "differs")]
+    assert diff.render_ci_report(0, 2, 0, 0.5, {"resolver": "fail"}) == ("source changes: 0\nresolver changes: 2 (fail)\nresolver-only rate: 50.0%", True)
+
+
 def test_dispatch_checks_arguments_first(spark):
     c, r = graph(spark, [("a", "b")])
     assert [x.id for x in api.dispatch(c, r, "callees", id="a").collect()] == ["b"]
