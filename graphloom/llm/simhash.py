@@ -233,6 +233,34 @@ def links(classes: DataFrame, n: int, distance: int = DISTANCE, bucket: int = BU
     n_buckets = max(shuffle_width(spark), parts_for(n * plan.rows, bucket))
     step = max(64, 2_000_000 // plan.rows)
 
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_buckets, np.int64)
+        for batch in batches:
+            fps = np.asarray(batch.column("fp")).view(np.uint64)
+            for k in range(len(plan.entries[0])):
+                total += np.bincount((plan.keys(fps, 0, k) % np.uint64(n_buckets)).astype(np.int64), minlength=n_buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    counted = classes.select("fp").mapInArrow(loads, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    hot: dict[int, list[int]] = {}
+    more = n_buckets
+    for row in counted.filter(F.col("n") > 2 * bucket).collect():  # at most one bucket for each 2 * bucket entries
+        parts = parts_for(row.n, bucket)
+        hot[row.bucket] = [row.bucket, *range(more, more + parts - 1)]
+        more += parts - 1
+
+    def cut(b: int, side: int, what: np.ndarray, fps: np.ndarray) -> Iterator[tuple]:
+        if b not in hot:
+            yield b, side, what.tobytes(), fps.tobytes()
+            return
+        to = hot[b]
+        which = _mix(fps) % np.uint64(len(to))
+        for i, x in enumerate(to):
+            own = which == np.uint64(i) if side == 0 else slice(None)
+            if side or own.any():
+                yield x, side, what[own].tobytes(), fps[own].tobytes()
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fps = np.asarray(batch.column("fp")).view(np.uint64)
@@ -245,7 +273,7 @@ def links(classes: DataFrame, n: int, distance: int = DISTANCE, bucket: int = BU
                     order = np.argsort(where, kind="stable")
                     where, what, who = where[order], what[order], np.tile(fps, n_keys)[order]
                     cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-                    rows = [(int(where[a]), side, what[a:b].tobytes(), who[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(where)])]
+                    rows = [r for a, b in zip(cuts, [*cuts[1:], len(where)]) for r in cut(int(where[a]), side, what[a:b], who[a:b])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENTRY.types)], schema=_ENTRY)
 
     def entries(row_what: bytes, row_fps: bytes, side: int) -> tuple[np.ndarray, np.ndarray]:

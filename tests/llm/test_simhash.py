@@ -62,7 +62,7 @@ def planted(n, seed):
 
 
 def test_links_lose_nothing(spark):
-    for n, bucket in ((150, 1_000_000), (150, 2000)):
+    for n, bucket in ((150, 1_000_000), (150, 2000), (150, 40)):
         fps = planted(n, n)
         want = {(a, b) for i, a in enumerate(fps.tolist()) for b in fps[i + 1 :][np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 6].tolist()}
         table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
