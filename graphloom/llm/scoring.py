@@ -6,10 +6,11 @@ documents, the target over those with a good and harmless label; background coun
 to the target's mass, so that both models are smoothed alike. A document's score is the mean
 over its tokens of target loss minus background loss: low means target-like.
 
-Bigram counts live in hashed buckets whose number follows the size of the corpus (one per
-``BYTES_PER_BUCKET`` bytes, at least 2 ** ``LEAST_BITS`` and at most 2 ** ``MOST_BITS``, which
-bounds a task's memory to 8 bytes a bucket). Tasks count into dense arrays and send only
-non-zero buckets; the sums are files in the shared folder that scoring tasks read.
+Bigrams are counted exactly. A bigram is one 64-bit key, scrambled one-to-one; tasks merge
+their counts and send them by the key's leading bits to shards, whose sums are sorted files in
+the shared folder. A model of at most ``HELD`` distinct bigrams is read whole by the scoring
+tasks; with a larger one the bigrams of the documents travel to the shards, each of which adds
+its part of every document's loss. Both ways give equal results.
 
 Edge cases: a null or empty text has no tokens and score 0; repeated rows count and score
 each; several labels of a document must all be good; without target documents the target
@@ -30,19 +31,86 @@ from graphloom.llm.files import load_array, save_array
 from graphloom.llm.tokens import encoder
 from graphloom.session import materialize, shared_path, shuffle_width, text_batches
 
-BYTES_PER_BUCKET, LEAST_BITS, MOST_BITS = 256, 16, 26
-SHARDS, SALTS = 16, 16
+#: Bytes of text for which there is one shard; distinct bigrams that a task holds for scoring, and while it counts.
+BYTES_PER_SHARD, HELD, PENDING = 64 << 20, 8_000_000, 1_000_000
+LEAST_BITS, SALTS = 4, 16
 PRIOR, UNIFORM = 50.0, 0.5
 
 
-def _slots(ids: np.ndarray, starts: np.ndarray, begin: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context of every token and the bucket of its bigram; ``begin`` stands before a document."""
+def _contexts(ids: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
+    """Context of every token; ``begin`` stands before a document."""
     context = np.empty_like(ids)
     context[1:] = ids[:-1]
     context[starts[starts < len(ids)]] = begin
-    key = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    key ^= key >> np.uint64(32)
-    return context, ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+    return context
+
+
+def _packed(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64 bits, so that leading bits share keys out evenly."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class _Sums:
+    """Sums of counts by key, merged whenever more than ``PENDING`` entries wait."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """``counts`` has two columns, target and background."""
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > PENDING:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys and their counts."""
+        keys = np.concatenate([np.zeros(0, np.uint64), *self.keys])
+        counts = np.concatenate([np.zeros((0, 2), np.int64), *self.counts])
+        order = np.argsort(keys)
+        keys = keys[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        keys, counts = keys[heads], np.add.reduceat(counts[order], heads, axis=0) if len(heads) else counts
+        self.keys, self.counts, self.waiting = [keys], [counts], 0
+        return keys, counts
+
+    def __len__(self) -> int:
+        return sum(map(len, self.keys))
+
+
+class _Table:
+    """Look-up of sorted scrambled keys: the leading bits say where to begin."""
+
+    def __init__(self, entries: np.ndarray, scale: np.ndarray):
+        self.keys = np.append(entries["key"], np.uint64(2**64 - 1))
+        self.counts = np.zeros((2, len(self.keys)), np.float32)
+        for side in (0, 1):
+            self.counts[side, :-1] = entries["counts"][:, side] * scale[side]
+        self.bits = max(1, len(entries).bit_length())
+        self.begin = np.searchsorted(entries["key"], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, or the last place, which counts nothing."""
+        at = self.begin[(keys >> np.uint64(64 - self.bits)).astype(np.int64)]
+        todo = np.flatnonzero(self.keys[at] < keys)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < keys[todo]]
+        # a real key may equal the end mark, which then stands before it
+        at[self.keys[at] != keys] = len(self.keys) - 1
+        return at
+
+
+_ENTRY = np.dtype([("key", "<u8"), ("counts", "<f4", (2,))])
 
 
 def _ids(texts: pa.Array, tokenizer: str | None, size: int = 4000, tokens: int = 500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -59,44 +127,43 @@ def _ids(texts: pa.Array, tokenizer: str | None, size: int = 4000, tokens: int =
 
 @dataclass
 class Model:
-    """Counts as files: [2, buckets] pairs in shards, and [4, vocabulary + 1] contexts and words."""
+    """Counts as files: entries (key, counts) of each shard, and [4, vocabulary + 1] contexts and words."""
 
-    pair_files: list[str]
+    pair_files: list[str | None]
     single_file: str
     bits: int
+    entries: int
     vocabulary: int
 
-    def load(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs [2, buckets], contexts [2, v + 1] and log-free unigram shares [2, v], size-matched."""
-        pairs = np.concatenate([load_array(f) for f in self.pair_files], 1)
+    def singles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scales of the counts, contexts [2, v + 1] and log-free unigram shares [2, v], size-matched."""
         single = load_array(self.single_file).astype(np.float64)
         context, words = single[:2], single[2:, : self.vocabulary]
         mass = words.sum(1)
-        scale = np.array([1.0, mass[0] / mass[1] if mass[0] and mass[1] else 1.0])[:, None]
-        words = words * scale
+        scale = np.array([1.0, mass[0] / mass[1] if mass[0] and mass[1] else 1.0])
+        words = words * scale[:, None]
         share = (words + UNIFORM) / (words.sum(1, keepdims=True) + UNIFORM * self.vocabulary)
-        pairs *= scale.astype(np.float32)
-        return pairs, context * scale + PRIOR, PRIOR * share
-
-
-def _flush(arrays: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Non-zero counts as packed rows (shard, side, places, counts); shard -1 has contexts and words."""
-    kinds = pa.schema([("shard", pa.int32()), ("side", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
-    for side in (0, 1):
-        pair = arrays["pairs"][side]
-        width = len(pair) // SHARDS
-        for shard in range(SHARDS):
-            part = pair[shard * width : (shard + 1) * width]
-            at = np.flatnonzero(part)
-            if len(at):
-                row = {"shard": shard, "side": side, "places": at.astype("<u4").tobytes(), "counts": part[at].astype("<u4").tobytes()}
-                yield pa.RecordBatch.from_pylist([row], kinds)
-    for side in range(4):
-        part = arrays["single"][side]
-        at = np.flatnonzero(part)
-        if len(at):
-            row = {"shard": -1, "side": side, "places": at.astype("<u4").tobytes(), "counts": part[at].astype("<u8").tobytes()}
-            yield pa.RecordBatch.from_pylist([row], kinds)
+        return scale, context * scale[:, None] + PRIOR, PRIOR * share
+
+    def table(self, files: list[str | None], scale: np.ndarray) -> _Table:
+        return _Table(np.concatenate([np.zeros(0, _ENTRY), *(load_array(f) for f in files if f)]), scale)
+
+
+_COUNTED = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_SUMMED = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n", pa.int64())])
+
+
+def _flush(sums: _Sums, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts as packed rows, one for each shard."""
+    keys, counts = sums.merge()
+    keys = _mix(keys)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+    for shard, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+        if b > a:
+            row = {"shard": shard, "keys": keys[a:b].astype("<u8").tobytes(), "counts": counts[a:b].astype("<i8").tobytes()}
+            yield pa.RecordBatch.from_pylist([row], _COUNTED)
 
 
 def fit(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None) -> Model:
@@ -108,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None) -> Mod
     spark = docs.sparkSession
     text_batches(spark)
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(size // BYTES_PER_BUCKET).bit_length()))
+    bits = max(LEAST_BITS, int(size // BYTES_PER_SHARD).bit_length())
     vocabulary = encoder(tokenizer).tokenizer.get_vocab_size()
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     fine = F.coalesce(F.col("quality"), F.lit(0)) > 0
@@ -120,19 +187,24 @@ def fit(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None) -> Mod
     marked = rows.join(salted.hint("merge"), ["doc_id", "salt"], "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 1 << bits
-        arrays = {"pairs": np.zeros((2, n), np.uint32), "single": np.zeros((4, vocabulary + 1), np.int64)}
+        sums, single = _Sums(), np.zeros((4, vocabulary + 1), np.int64)
         for batch in batches:
             target = np.asarray(batch.column("target").to_numpy(zero_copy_only=False))
             for first, ids, bounds in _ids(batch.column("text"), tokenizer):
-                context, slot = _slots(ids, bounds[:-1], vocabulary, bits)
+                context = _contexts(ids, bounds[:-1], vocabulary)
                 mine = np.repeat(target[first : first + len(bounds) - 1], np.diff(bounds))
-                for side, (c, w, s) in ((0, (context[mine], ids[mine], slot[mine])), (1, (context, ids, slot))):
-                    at, times = np.unique(s, return_counts=True)
-                    arrays["pairs"][side][at] += times.astype(np.uint32)
-                    arrays["single"][side] += np.bincount(c, minlength=vocabulary + 1)
-                    arrays["single"][2 + side] += np.bincount(w, minlength=vocabulary + 1)
-        yield from _flush(arrays)
+                # the last bit tells the target's, so that one sort counts both
+                keys, times = np.unique(_packed(context, ids) << np.uint64(1) | mine, return_counts=True)
+                own = (keys & np.uint64(1)).astype(bool)
+                sums.add(keys >> np.uint64(1), np.stack([times * own, times], 1))
+                for side, (c, w) in ((0, (context[mine], ids[mine])), (1, (context, ids))):
+                    single[side] += np.bincount(c, minlength=vocabulary + 1)
+                    single[2 + side] += np.bincount(w, minlength=vocabulary + 1)
+                if not sums.waiting and len(sums) > PENDING:
+                    yield from _flush(sums, bits)
+                    sums = _Sums()
+        yield from _flush(sums, bits)
+        yield pa.RecordBatch.from_pylist([{"shard": -1, "keys": None, "counts": single.astype("<i8").tobytes()}], _COUNTED)
 
     root = shared_path(spark, "lm")
 
@@ -141,56 +213,129 @@ def fit(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None) -> Mod
         now, total = None, None
 
         def save():
-            uri = f"{root}/{now:03d}.npy"
-            save_array(uri, total.astype(np.float32) if now >= 0 else total)
-            return pa.RecordBatch.from_pylist([{"shard": now, "path": uri}], pa.schema([("shard", pa.int32()), ("path", pa.string())]))
+            uri, n = f"{root}/{now:05d}.npy", 0
+            if now < 0:
+                save_array(uri, total)
+            else:
+                keys, counts = total.merge()
+                n = len(keys)
+                out = np.zeros(n, _ENTRY)
+                out["key"], out["counts"] = keys, counts
+                save_array(uri, out)
+            return pa.RecordBatch.from_pylist([{"shard": now, "path": uri, "n": n}], _SUMMED)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != now:
+            for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now:
                     if now is not None:
                         yield save()
-                    now = row["shard"]
-                    total = np.zeros((2, (1 << bits) // SHARDS) if now >= 0 else (4, vocabulary + 1), np.int64)
-                kind = "<u4" if now >= 0 else "<u8"
-                total[row["side"], np.frombuffer(row["places"], "<u4")] += np.frombuffer(row["counts"], kind).astype(np.int64)
+                    now, total = shard, _Sums() if shard >= 0 else np.zeros((4, vocabulary + 1), np.int64)
+                if now < 0:
+                    total += np.frombuffer(counts, "<i8").reshape(total.shape)
+                else:
+                    total.add(np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8").reshape(-1, 2))
         if now is not None:
             yield save()
 
-    counted = marked.mapInArrow(count, "shard int, side int, places binary, counts binary")
-    summed = counted.repartition(min(SHARDS + 1, shuffle_width(spark)), "shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, path string")
-    files = {r.shard: r.path for r in materialize(summed, "lm-files").collect()}  # at most SHARDS + 1 rows
-    width = (1 << bits) // SHARDS
-    for shard in range(-1, SHARDS):
-        if shard not in files:
-            files[shard] = f"{root}/none-{shard}.npy"
-            save_array(files[shard], np.zeros((2, width), np.float32) if shard >= 0 else np.zeros((4, vocabulary + 1), np.int64))
-    return Model([files[s] for s in range(SHARDS)], files[-1], bits, vocabulary)
+    counted = marked.mapInArrow(count, "shard int, keys binary, counts binary")
+    summed = counted.repartition(min((1 << bits) + 1, shuffle_width(spark)), "shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, path string, n long")
+    files = {r.shard: (r.path, r.n) for r in materialize(summed, "lm-files").collect()}  # one row a shard
+    if -1 not in files:
+        files[-1] = (f"{root}/none.npy", 0)
+        save_array(files[-1][0], np.zeros((4, vocabulary + 1), np.int64))
+    pairs = [files.get(shard, (None, 0))[0] for shard in range(1 << bits)]
+    return Model(pairs, files[-1][0], bits, sum(n for _, n in files.values()), vocabulary)
+
+
+_loaded: dict[tuple[str, int], tuple] = {}
+
 
+def _load(model: Model, shard: int | None = None) -> tuple:
+    """The singles, and the table of one shard or of the whole model; the last one is kept."""
+    if (model.single_file, shard) not in _loaded:
+        _loaded.clear()
+        scale, *rest = model.singles()
+        files = model.pair_files if shard is None else [model.pair_files[shard]]
+        _loaded[model.single_file, shard] = (model.table(files, scale), *rest)
+    return _loaded[model.single_file, shard]
 
-_loaded: dict[str, tuple] = {}
 
+_SCORES = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
 
-def score(docs: DataFrame, model: Model, tokenizer: str | None = None) -> DataFrame:
+
+def score(docs: DataFrame, model: Model, tokenizer: str | None = None, held: int = HELD) -> DataFrame:
     """doc_id, n_tokens, mean target and background loss in nats, and their difference."""
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if model.entries > held:
+        return _score_by_shards(rows, model, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.single_file not in _loaded:
-            _loaded.clear()
-            _loaded[model.single_file] = model.load()
-        pairs, context_mass, prior = _loaded[model.single_file]
+        table, context_mass, prior = _load(model)
         for batch in batches:
             for first, ids, bounds in _ids(batch.column("text"), tokenizer):
-                context, slot = _slots(ids, bounds[:-1], model.vocabulary, model.bits)
+                context = _contexts(ids, bounds[:-1], model.vocabulary)
+                at = table.places(_mix(_packed(context, ids)))
                 n = np.diff(bounds)
                 out = []
                 for side in (0, 1):
-                    loss = np.log(context_mass[side][context]) - np.log(pairs[side][slot] + prior[side][ids])
+                    loss = np.log(context_mass[side][context]) - np.log(table.counts[side][at] + prior[side][ids])
                     total = np.diff(np.append(0, np.cumsum(loss))[bounds])
                     out.append(total / np.maximum(n, 1))
                 keys = batch.column("doc_id").slice(first, len(n))
                 cols = [keys, pa.array(n), pa.array(out[0]), pa.array(out[1]), pa.array(out[0] - out[1])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                yield pa.RecordBatch.from_arrays(cols, _SCORES)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+_SENT = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("docs", pa.list_(pa.int64())), ("at", pa.binary()), ("words", pa.binary()), ("keys", pa.binary())])
+_PART = ["uid", "doc_id", "n_tokens", "target", "background"]
+
+
+def _score_by_shards(rows: DataFrame, model: Model, tokenizer: str | None) -> DataFrame:
+    """The way for models too large for a task: blocks of bigrams go to the shards, sums come back.
+
+    A row is named by its partition and place, which are those of the scan.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid, turn = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            for first, ids, bounds in _ids(batch.column("text"), tokenizer):
+                context = _contexts(ids, bounds[:-1], model.vocabulary)
+                keys, n = _mix(_packed(context, ids)), np.diff(bounds)
+                order = np.argsort(keys)
+                keys, words, at = keys[order], ids[order], np.repeat(np.arange(len(n)), n)[order]
+                cuts = np.append(np.searchsorted(keys, np.arange(1 << model.bits, dtype=np.uint64) << np.uint64(64 - model.bits)), len(keys)).tolist()
+                # contexts need no shard: they travel, by document, with one shard after another
+                row = {"shard": turn % (1 << model.bits), "uid": uid, "docs": batch.column("doc_id").slice(first, len(n)).to_pylist(), "at": np.repeat(np.arange(len(n)), n).astype("<u4").tobytes(), "words": context.astype("<u4").tobytes(), "keys": None}
+                yield pa.RecordBatch.from_pylist([row], _SENT)
+                for shard, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if b > a:
+                        row = {"shard": shard, "uid": uid, "docs": None, "at": at[a:b].astype("<u4").tobytes(), "words": words[a:b].astype("<u4").tobytes(), "keys": keys[a:b].astype("<u8").tobytes()}
+                        yield pa.RecordBatch.from_pylist([row], _SENT)
+                uid, turn = uid + len(n), turn + 1
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, uid, docs, at, words, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                table, context_mass, prior = _load(model, shard)
+                at, words = np.frombuffer(at, "<u4").astype(np.int64), np.frombuffer(words, "<u4")
+                if keys is None:
+                    own, n = np.arange(len(docs)), np.bincount(at, minlength=len(docs))
+                    parts = [np.bincount(at, np.log(context_mass[side][words]), len(docs)) for side in (0, 1)]
+                else:
+                    own, to = np.unique(at, return_inverse=True)
+                    n, docs, place = np.zeros(len(own), np.int64), [None] * len(own), table.places(np.frombuffer(keys, "<u8"))
+                    parts = [-np.bincount(to, np.log(table.counts[side][place] + prior[side][words]), len(own)) for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(uid + own), pa.array(docs, pa.int64()), pa.array(n), *map(pa.array, parts)], _PART)
+
+    sent = rows.mapInArrow(spread, "shard int, uid long, docs array<long>, at binary, words binary, keys binary")
+    met = sent.repartition(min(1 << model.bits, shuffle_width(rows.sparkSession)), "shard").sortWithinPartitions("shard")
+    part = met.mapInArrow(meet, "uid long, doc_id long, n_tokens long, target double, background double")
+    whole = part.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+    n = F.greatest("n_tokens", F.lit(1))
+    return whole.select("doc_id", "n_tokens", (F.col("t") / n).alias("target_loss"), (F.col("b") / n).alias("background_loss"), ((F.col("t") - F.col("b")) / n).alias("score"))
