@@ -322,7 +322,10 @@ def links(classes: DataFrame, n: int, distance: int = DISTANCE, bucket: int = BU
 
 
 def near_duplicates(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, count, n_near, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp)."""
+    """(fp, count, n_near, component_id, group) of each distinct fingerprint of ``fps`` (doc_id, fp).
+
+    ``component_id`` is the least doc_id, which components may share; ``group`` is a component's own.
+    """
     classes = materialize(fps.groupBy("fp").agg(F.count("*").alias("count"), F.min("doc_id").alias("least")), "classes")
     pairs = materialize(links(classes, classes.count(), distance), "links")
     sizes = classes.select(F.col("fp").alias("b"), "count")
@@ -331,13 +334,14 @@ def near_duplicates(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     groups = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("fp"), "component")
     groups = materialize(groups, "groups")
     least = groups.join(classes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.join(least, "component").select("fp", "component_id")
+    named = groups.join(least, "component").select("fp", "component", "component_id")
     out = classes.join(near, "fp", "left").join(named, "fp", "left")
     return out.select(
         "fp",
         "count",
         (F.col("count") - 1 + F.coalesce("linked", F.lit(0))).alias("n_near"),
         F.coalesce("component_id", "least").alias("component_id"),
+        F.coalesce("component", "fp").alias("group"),
     )
 
 
@@ -375,3 +379,17 @@ def first_of_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     chosen = own.groupBy("component_id").agg(F.min("fp").alias("_fp")).withColumnRenamed("component_id", "_id")
     kept = tagged.join(chosen, (tagged["_fp"] == chosen["_fp"]) & tagged["doc_id"].cast("long").eqNullSafe(chosen["_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+
+
+def one_of_each_group(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One document of each group, with all its columns, also where groups share their least
+    doc_id or have none: the row with the least doc_id (null last), then the least fingerprint."""
+    text_batches(docs.sparkSession)
+    tagged = docs.withColumn("_fp", fingerprint_udf("text"))
+    fps = materialize(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
+    classes = materialize(near_duplicates(fps, distance), "near")
+    mine = _by_class(fps, classes, fps.count())
+    chosen = mine.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("_first"))
+    chosen = chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first.fp").alias("_key"))
+    kept = tagged.join(chosen, (tagged["_fp"] == chosen["_key"]) & tagged["doc_id"].cast("long").eqNullSafe(chosen["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
