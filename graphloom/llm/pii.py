@@ -58,7 +58,7 @@ _KINDS: list[tuple[str, str]] = [
 ]
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS))
 #: A cheap necessary condition, for RE2: most texts hold nothing and skip the search above.
-_MAYBE = rf"@[A-Za-z0-9-]|[0-9]{{3}}|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|eyJ|(?i:passw|pwd|secret|token|api[_-]?key|access[_-]?key)|(?:{_HONORIFIC})\.? \p{{Lu}}|(?:{_GIVEN}) \p{{Lu}}"
+_MAYBE = rf"@[A-Za-z0-9-]|\+[0-9]|[0-9]{{3}}|[0-9]\.[0-9]|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|AKIA|ASIA|gh[pousr]_|sk-|xox|eyJ|(?i:passw|pwd|secret|token|api[_-]?key|access[_-]?key)|(?:{_HONORIFIC})\.? \p{{Lu}}|(?:{_GIVEN}) \p{{Lu}}"
 _HEAD = re.compile(rf"(?:(?P<title>{_HONORIFIC})\.? )?(?:(?P<given>{_GIVEN})(?: |$))?(?P<last>.*)")
 
 
