@@ -3,8 +3,8 @@
 Texts become streams of lower-case words in which numbers, given names and units are typed
 placeholders. Windows of ``WINDOW`` stream items are hashed and joined with the windows of
 the benchmark; a shorter benchmark item of at least ``SHORTEST`` items is one window. A hit
-counts when its words are equal and its slots are consistent: in one document, an item's
-slot values must map one-to-one to the document's. Equal values mean a verbatim copy, other
+counts when its words are equal and its slots are consistent: in one occurrence (hits of an
+item at one offset), each of the item's slot values must map to one of the document's. Equal values mean a verbatim copy, other
 consistent values a re-parameterised one.
 
 The benchmark's windows are an index file of at most ``INDEX_ROWS`` rows that every task
@@ -143,7 +143,7 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, Streams]]:
             release()
 
 
-_WINDOWS = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+_WINDOWS = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("place", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -162,10 +162,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 for i, n, h in todo:
                     if (s.kind[i : i + n] == _WORD).sum() >= min(LEAST_WORDS, n):
                         template, slots = s.window(i, n)
-                        rows.append({"hash": h, "item_id": names[base + int(s.doc[i])], "size": n, "template": template, "slots": slots})
+                        rows.append({"hash": h, "item_id": names[base + int(s.doc[i])], "size": n, "place": i - int(first[s.doc[i]]), "template": template, "slots": slots})
                 yield pa.RecordBatch.from_pylist(rows, _WINDOWS)
 
-    schema = "hash long, item_id long, size int, template string, slots array<string>"
+    schema = "hash long, item_id long, size int, place long, template string, slots array<string>"
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, schema)
 
 
@@ -184,7 +184,7 @@ class Index:
 
     def hits(self, s: Streams) -> Iterator[tuple[int, int, int, bool]]:
         """(document, item, windows, verbatim) for every item found in a document."""
-        found: dict[tuple[int, int], list[tuple[list[str], list[str]]]] = {}
+        found: dict[tuple[int, int], dict[int, list[tuple[list[str], list[str]]]]] = {}
         for length in self.lengths:
             starts, hashes = s.windows(length)
             maybe = np.flatnonzero(self.seen[hashes >> np.uint64(42)])
@@ -195,21 +195,26 @@ class Index:
                 for k in self.order[a:b].tolist():
                     if self.table.column("size")[k].as_py() == length and self.table.column("template")[k].as_py() == template:
                         key = (int(s.doc[i]), self.table.column("item_id")[k].as_py())
-                        found.setdefault(key, []).append((self.table.column("slots")[k].as_py(), slots))
-        for (doc, item), pairs in found.items():
-            plain = sum(a == b for a, b in pairs)
-            kept = [p for p in pairs if consistent([p])]
-            if plain == len(pairs) or (kept and consistent(kept)):
-                yield doc, item, len(kept), plain == len(pairs)
-            elif plain or any(consistent([p]) and not p[0] for p in pairs):
-                yield doc, item, plain, True
+                        found.setdefault(key, {}).setdefault(i - self.table.column("place")[k].as_py(), []).append((self.table.column("slots")[k].as_py(), slots))
+        for (doc, item), occurrences in found.items():
+            good = [x for pairs in occurrences.values() if (x := judge(pairs))]
+            if good:
+                yield doc, item, sum(n for n, _ in good), any(same for _, same in good)
+
+
+def judge(pairs: list[tuple[list[str], list[str]]]) -> tuple[int, bool] | None:
+    """Windows that count in one occurrence and whether they are verbatim, or None."""
+    plain = sum(a == b for a, b in pairs)
+    kept = [p for p in pairs if consistent([p])]
+    if plain == len(pairs) or (kept and consistent(kept)):
+        return len(kept), plain == len(pairs)
+    return (plain, True) if plain else None
 
 
 def consistent(pairs: list[tuple[list[str], list[str]]]) -> bool:
-    """Whether slot values map one-to-one from the item to the document."""
+    """Whether each slot value of the item maps to one value of the document."""
     there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for x, y in pairs for a, b in zip(x, y))
+    return all(there.setdefault(a, b) == b for x, y in pairs for a, b in zip(x, y))
 
 
 _indexes: dict[str, Index] = {}
