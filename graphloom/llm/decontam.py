@@ -11,8 +11,10 @@ The benchmark's windows are an index file of at most ``INDEX_ROWS`` rows that ev
 reads; a larger benchmark is cut into such blocks, each matched against all documents, so no
 size is broadcast without a bound. Documents are never shuffled.
 
-Edge cases: null and empty texts have no windows; an item shorter than ``SHORTEST`` or of
-placeholders alone (fewer than ``LEAST_WORDS`` words a window) marks nothing; repeated items
+An item without a window of enough plain words (``LEAST_WORDS``), or shorter than ``SHORTEST``,
+is matched whole and word for word, with its real values.
+
+Edge cases: null and empty texts have no windows; an item of one word marks nothing; repeated items
 and documents each count; empty tables give no hits; other columns are ignored or, in
 ``drop_contaminated``, kept.
 """
@@ -113,6 +115,13 @@ class Streams:
         inside = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
         return inside, total[inside] * np.uint64(0xBF58476D1CE4E5B9)
 
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the words' own hashes, each times a power of _P, and the document of each word."""
+        own = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)[self.index]
+        powers = np.cumprod(np.append(np.uint64(1), np.full(len(own), _P, np.uint64)), dtype=np.uint64)
+        doc = self.doc[np.repeat(np.arange(len(self.at)), np.diff(np.append(self.at, self.n_words)))]
+        return np.append(np.uint64(0), np.cumsum(own * powers[:-1], dtype=np.uint64)), doc
+
     def value(self, item: int) -> str:
         first = int(self.at[item])
         last = int(self.at[item + 1]) if item + 1 < len(self.at) else self.n_words
@@ -163,12 +172,27 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     if (s.kind[i : i + n] == _WORD).sum() >= min(LEAST_WORDS, n):
                         template, slots = s.window(i, n)
                         rows.append({"hash": h, "item_id": names[base + int(s.doc[i])], "size": n, "place": i - int(first[s.doc[i]]), "template": template, "slots": slots})
+                indexed = {int(s.doc[i]) for i, n, _ in todo if (s.kind[i : i + n] == _WORD).sum() >= min(LEAST_WORDS, n)}
+                ends = np.append(s.at, s.n_words)
+                for d in np.flatnonzero(lengths).tolist():
+                    words = [s.words[i] for i in s.index[ends[first[d]] : ends[first[d] + lengths[d]]].tolist()]
+                    if d not in indexed and len(words) > 1:
+                        # whole and verbatim: a negative size, in words
+                        rows.append({"hash": _whole(words), "item_id": names[base + d], "size": -len(words), "place": 0, "template": " ".join(words), "slots": []})
                 yield pa.RecordBatch.from_pylist(rows, _WINDOWS)
 
     schema = "hash long, item_id long, size int, place long, template string, slots array<string>"
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, schema)
 
 
+def _whole(words: list[str]) -> int:
+    """The hash of words as ``Streams.sums`` has it for those at the start of a block, as a signed long."""
+    total = 0
+    for w in reversed(words):
+        total = (total * _P + xxhash.xxh64_intdigest(w)) % (1 << 64)
+    return total - (1 << 64) if total >> 63 else total
+
+
 class Index:
     """A block of the benchmark's windows, read from its file once per process."""
 
@@ -180,7 +204,14 @@ class Index:
         self.hashes = hashes[self.order]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.hashes >> np.uint64(42)] = True
-        self.lengths = sorted(set(self.table.column("size").to_pylist()))
+        sizes = np.asarray(self.table.column("size"))
+        self.lengths = sorted(set(sizes[sizes > 0].tolist()))
+        # whole items by their number of words: sorted hashes, and the rows they come from
+        self.wholes: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for n in sorted(set(sizes[sizes < 0].tolist()), reverse=True):
+            rows = np.flatnonzero(sizes == n)
+            rows = rows[np.argsort(hashes[rows], kind="stable")]
+            self.wholes.append((-n, hashes[rows], rows))
 
     def hits(self, s: Streams) -> Iterator[tuple[int, int, int, bool]]:
         """(document, item, windows, verbatim) for every item found in a document."""
@@ -196,11 +227,32 @@ class Index:
                     if self.table.column("size")[k].as_py() == length and self.table.column("template")[k].as_py() == template:
                         key = (int(s.doc[i]), self.table.column("item_id")[k].as_py())
                         found.setdefault(key, {}).setdefault(i - self.table.column("place")[k].as_py(), []).append((self.table.column("slots")[k].as_py(), slots))
+        for doc, item in self.verbatim(s):
+            at = found.setdefault((doc, item), {})
+            at[len(at), "whole"] = [([], [])]
         for (doc, item), occurrences in found.items():
             good = [x for pairs in occurrences.values() if (x := judge(pairs))]
             if good:
                 yield doc, item, sum(n for n, _ in good), any(same for _, same in good)
 
+    def verbatim(self, s: Streams) -> Iterator[tuple[int, int]]:
+        """(document, item) of every occurrence of a whole item."""
+        if not self.wholes or not s.n_words:
+            return
+        sums, doc = s.sums()
+        inverse = np.uint64(pow(_P, -1, 1 << 64))
+        back = np.cumprod(np.append(np.uint64(1), np.full(s.n_words - 1, inverse, np.uint64)), dtype=np.uint64)
+        for n, hashes, rows in self.wholes:
+            if n > s.n_words:
+                continue
+            got = (sums[n:] - sums[:-n]) * back[: s.n_words - n + 1]
+            lo, hi = np.searchsorted(hashes, got, "left"), np.searchsorted(hashes, got, "right")
+            for i in np.flatnonzero((hi > lo) & (doc[: len(got)] == doc[n - 1 :])).tolist():
+                text = " ".join(s.words[j] for j in s.index[i : i + n].tolist())
+                for k in rows[lo[i] : hi[i]].tolist():
+                    if self.table.column("template")[k].as_py() == text:
+                        yield int(doc[i]), self.table.column("item_id")[k].as_py()
+
 
 def judge(pairs: list[tuple[list[str], list[str]]]) -> tuple[int, bool] | None:
     """Windows that count in one occurrence and whether they are verbatim, or None."""
