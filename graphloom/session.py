@@ -7,19 +7,27 @@ executor costs at most the tasks it was running.
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_temporary: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder; a private one is made only where none is configured."""
+    """URI of the shared folder; a private one is made only in local mode, where none is configured."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError(f"{_KEY} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set(_KEY, root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -33,13 +41,64 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, with its schema kept."""
+    """``df`` written to the shared folder and read back, with its schema kept.
+
+    The copy lasts until the application ends or calls ``cleanup``.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    folder = f"{shared_root(spark)}/graphloom/tmp/{spark.sparkContext.applicationId}"
+    if not _temporary:
+        atexit.register(_drop_all)
+    _temporary.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop_all() -> None:
+    for folder in list(_temporary):
+        _temporary.discard(folder)
+        try:
+            fs, path = pafs.FileSystem.from_uri(folder)
+            fs.delete_dir(path)
+        except (OSError, ValueError):  # gone already, or a file system only the JVM knows
+            pass
+
+
+def cleanup() -> None:
+    """Delete the intermediate tables of this process; results read from them must be written before."""
+    _drop_all()
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added until no column in ``taken`` has them, case aside."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def addressed(df: DataFrame, file: str, row: str) -> DataFrame:
+    """``df`` with the hash of each row's file and its place there, equal on every read.
+
+    Unlike ids by partition these do not move with the number of cores. Where ``df`` is not a
+    projection or filter of files with places, it is written once.
+    """
+    plan = df._jdf.queryExecution().analyzed().toString()
+    repeats = "Generate" in plan or "Sample" in plan  # rows of one place
+    for table in ((None,) if repeats else (df, None)):
+        table = materialize(df, "addressed") if table is None else table
+        try:
+            place = table.metadataColumn("_metadata")
+            return table.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+        except AnalysisException:
+            continue
+    raise RuntimeError("rows of a written table have no places")
+
+
 #: Rows and bytes of the batches in which texts go to Python, where the session has the defaults.
 BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
