@@ -82,21 +82,24 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
 
 
 def addressed(df: DataFrame, file: str, row: str) -> DataFrame:
-    """``df`` with the hash of each row's file and its place there, equal on every read.
+    """``df``, a table from ``placed``, with the hash of each row's file and its place there.
 
-    Unlike ids by partition these do not move with the number of cores. Where ``df`` is not a
-    projection or filter of files with places, it is written once.
+    Unlike ids by partition these are equal on every read and do not move with the number of cores.
     """
+    place = df.metadataColumn("_metadata")
+    return df.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` itself where it is a projection or filter of files that know their rows' places, else a written copy."""
     plan = df._jdf.queryExecution().analyzed().toString()
-    repeats = "Generate" in plan or "Sample" in plan  # rows of one place
-    for table in ((None,) if repeats else (df, None)):
-        table = materialize(df, "addressed") if table is None else table
+    if "Generate" not in plan and "Sample" not in plan:  # these repeat places
         try:
-            place = table.metadataColumn("_metadata")
-            return table.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+            addressed(df, *free_names(df.columns, "_file", "_row"))
+            return df
         except AnalysisException:
-            continue
-    raise RuntimeError("rows of a written table have no places")
+            pass
+    return materialize(df, "placed")
 
 
 #: Rows and bytes of the batches in which texts go to Python, where the session has the defaults.
