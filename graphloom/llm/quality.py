@@ -9,8 +9,9 @@ rows for a lost clean one. The trees' subsamples are the forest's documented
 bound (``TREES`` of ``SUBSAMPLE`` rows, drawn by a hash of doc_id); thresholds are set on all
 labelled rows. Length is no ratio, so that long documents are not odd by themselves.
 
-Edge cases: a null or empty text has no words and fails the base rules; repeated rows are
-judged alike, each by its own text; without any label every threshold is ``NO_LABELS``, and
+Edge cases: a null or empty text has no words and fails the base rules; a very long one is
+counted whole, in a block of its own; repeated rows are judged alike, each by its own text; of
+cuts that pay equally the mildest is taken; without any label every threshold is ``NO_LABELS``, and
 a reason without bad labelled rows rejects nothing; an empty table gives no rows; other columns are ignored or, in ``keep``,
 passed through.
 """
@@ -27,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.marks import only_marked, write_marks
 from graphloom.llm.memory import claim, release
-from graphloom.session import materialize, text_batches
+from graphloom.session import addressed, free_names, materialize, placed, text_batches
 
 TREES, SUBSAMPLE = 100, 256
 #: Least words, and largest share of words in repeated windows, of the base rules.
@@ -230,17 +232,21 @@ def _arrow(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) if isinstance(a, np.ndarray) else a for a in arrays], names)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every text, in one pass without a shuffle."""
-    text_batches(docs.sparkSession)
+def _with_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The long columns ``keys`` and the counts of every text."""
+    text_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = count_texts(batch.column("text"))
-            yield _arrow(["doc_id", *COUNTS, *EXTRA], [batch.column("doc_id"), *counts.T.copy()])
+            yield _arrow([*keys, *COUNTS, *EXTRA], [*(batch.column(k) for k in keys), *counts.T.copy()])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*keys, *COUNTS, *EXTRA]))
+
 
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS + EXTRA)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of every text, in one pass without a shuffle."""
+    return _with_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
 
 
 def _counts_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -281,18 +287,26 @@ def fit(stats: DataFrame, labels: DataFrame, clean_cost: float = CLEAN_COST) ->
     counts = np.stack([np.asarray(sample.column(c)) for c in COUNTS + EXTRA], 1).astype(np.int64)
     model = Model(Forest.fit(ratios(counts)), np.full(len(RATIOS), NO_LABELS))
     marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("quality"))
-    scored = judge(passing, model).join(marks, "doc_id")
-    hist = scored.groupBy("reason", F.floor(F.col("oddness") * 1000).cast("int").alias("bin"), "quality").count()
-    model.thresholds = thresholds([tuple(r) for r in hist.collect()], clean_cost)  # at most 6 * 1001 * 2 rows
+    # both sides are counted by doc_id first, so that neither a repeated document nor a repeated label is a hot key
+    marks = marks.groupBy("doc_id").agg(*(F.count_if(F.col("quality") == q).alias(f"q{q}") for q in (0, 1)))
+    scored = judge(passing, model).groupBy("doc_id", "reason", F.floor(F.col("oddness") * 1000).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    hist = scored.join(marks, "doc_id").groupBy("reason", "bin").agg(*(F.sum(F.col("n") * F.col(f"q{q}")).alias(f"n{q}") for q in (0, 1)))
+    rows = [(r.reason, r.bin, q, n) for r in hist.collect() for q, n in ((0, r.n0), (1, r.n1)) if n]  # at most 6 * 1001 rows
+    model.thresholds = thresholds(rows, clean_cost)
     return model
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns; texts are read twice and never shuffled."""
-    model = fit(materialize(statistics(docs), "quality"), labels)
-
-    @F.arrow_udf("boolean")
-    def passes(text: pa.Array) -> pa.Array:
-        return pa.array(model.verdict(count_texts(text))[3])
+    """The documents that pass, with all their columns; texts are counted once and never shuffled."""
+    docs = placed(docs)
+    file, row = free_names(docs.columns, "_file", "_row")
+    wide = addressed(docs, file, row)
+    stats = materialize(_with_counts(wide.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(file).alias("file"), F.col(row).alias("row"), "text"), ["doc_id", "file", "row"]), "quality")
+    model = fit(stats, labels)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array(model.verdict(_counts_of(batch))[3])
+            yield batch.select(["file", "row"]).filter(kept)
 
-    return docs.filter(passes("text"))
+    return only_marked(docs, write_marks(stats.mapInArrow(choose, "file long, row long"), "kept"))

@@ -10,9 +10,10 @@ ceil(t_i / 2) on the other, meeting on equal keys, and verifying the full distan
 search is exact; the estimates, from a documented sample, only choose the cheapest plan.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; a text of
-one word is one shingle; repeated rows are members of one class; a null doc_id takes part
-and loses against any other for the class name; an empty table gives no rows; other columns
-are ignored, or kept by ``first_of_groups``.
+one word is one shingle, and a very long text is hashed in parts; repeated rows are members of
+one class; a null doc_id takes part and loses against any other for the class name; an empty
+table gives no rows; other columns, whatever their names, are ignored, or kept by the functions
+that return documents. Of equal candidates these keep the one first in its file.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.marks import only_marked, write_marks
 from graphloom.llm.memory import claim
 from graphloom.operators.fixpoint import connected_components
-from graphloom.session import materialize, parts_for, shuffle_width, text_batches
+from graphloom.session import addressed, free_names, materialize, parts_for, placed, shuffle_width, text_batches
 
 DISTANCE = 6
 #: Fingerprints from which the plan's costs are estimated; entries of a bucket; pairs verified at a time.
@@ -367,29 +369,34 @@ def cluster(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
-def first_of_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each group, with all its columns: the least doc_id, and of rows that share
-    it the one with the least fingerprint, then any."""
+def _addressed_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, content, file, row) of a placed table, written once; no text leaves its scan."""
     text_batches(docs.sparkSession)
-    tagged = docs.withColumn("_fp", fingerprint_udf("text"))
-    fps = materialize(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
+    file, row = free_names(docs.columns, "_file", "_row")
+    wide = addressed(docs, file, row)
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), fingerprint_udf("text").alias("fp"), F.xxhash64("text").alias("content"), F.col(file).alias("file"), F.col(row).alias("row")]
+    return materialize(wide.select(*cols), "fingerprints")
+
+
+def _first_rows(docs: DataFrame, distance: int, key: list[str]) -> DataFrame:
+    """One row of ``docs`` for each ``key`` of its classes: the least doc_id (null last), then the
+    least fingerprint, text hash, file and place."""
+    docs = placed(docs)
+    fps = _addressed_fingerprints(docs)
     classes = materialize(near_duplicates(fps, distance), "near")
     mine = _by_class(fps, classes, fps.count())
-    own = mine.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = own.groupBy("component_id").agg(F.min("fp").alias("_fp")).withColumnRenamed("component_id", "_id")
-    kept = tagged.join(chosen, (tagged["_fp"] == chosen["_fp"]) & tagged["doc_id"].cast("long").eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "content", "file", "row")
+    chosen = mine.groupBy(*key).agg(F.min(order).alias("x")).select("x.file", "x.row")
+    return only_marked(docs, write_marks(chosen, "chosen"))
+
+
+def first_of_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One document for each least doc_id of a group, with all its columns, as ``_first_rows`` picks it."""
+    return _first_rows(docs, distance, ["component_id"])
 
 
 def one_of_each_group(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, with all its columns, also where groups share their least
-    doc_id or have none: the row with the least doc_id (null last), then the least fingerprint."""
-    text_batches(docs.sparkSession)
-    tagged = docs.withColumn("_fp", fingerprint_udf("text"))
-    fps = materialize(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
-    classes = materialize(near_duplicates(fps, distance), "near")
-    mine = _by_class(fps, classes, fps.count())
-    chosen = mine.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("_first"))
-    chosen = chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first.fp").alias("_key"))
-    kept = tagged.join(chosen, (tagged["_fp"] == chosen["_key"]) & tagged["doc_id"].cast("long").eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    doc_id or have none: the row with the least doc_id (null last), then the least fingerprint,
+    text hash, file and place. Texts are fingerprinted once and never shuffled."""
+    return _first_rows(docs, distance, ["group"])
