@@ -16,8 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return scoring.score(docs, scoring.fit(docs, _table(spark, sf_dir, "labels")))
+    """Every document by models of all others."""
+    return scoring.score_corpus(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
