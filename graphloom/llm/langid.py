@@ -8,16 +8,19 @@ apart. ``score`` is the softmax share of the chosen language; a small distance t
 one flags the text as ambiguous.
 
 Classifiers are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, spread evenly
-over the languages, whole texts); every whole text is predicted, without a shuffle.
+over the languages, whole texts), drawn by a hash of doc_id and text, so that neither a rare
+language nor one under a single doc_id is lost; every whole text is predicted, without a shuffle.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and so is every
 text when there is nothing to learn from; with one language all others with letters get it;
 rows with a null language or doc_id are never learned from; repeated rows are predicted
-alike; empty tables give no rows; other columns are ignored.
+alike; of languages with equal loss the first by name is taken; a very long text is counted
+whole, in a block of its own; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -25,12 +28,14 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import text_batches
 
 TRAIN_ROWS = 4000
+#: Most languages, most training rows of one (a rank that Spark limits within tasks), parts of an octave.
+MAX_LANGUAGES, MAX_EACH, STEPS = 256, 1000, 8
 DIMENSIONS = 1 << 13
 ORDERS = (2, 3, 4)
 AMBIGUOUS = 0.15
@@ -154,37 +159,60 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _octave(u: Column) -> Column:
+    """Which of ``STEPS`` parts an octave a number in (0, 1] lies in, counted downwards from 1."""
+    return F.floor(-F.log2(u) * STEPS).cast("int")
+
+
+def _draw(usable: DataFrame, each: int, counts: dict[str, dict[int, int]], place: Column) -> DataFrame:
+    """The ``each`` rows with the least ``place`` of every language, or all where it has no more.
+
+    A language's histogram of places tells below which octave it has enough rows; the rank takes
+    the rest off, within tasks first.
+    """
+    least = {}
+    for lang, by in counts.items():
+        total = 0
+        for octave in sorted(by, reverse=True):
+            total += by[octave]
+            if total >= each or octave == min(by):
+                least[lang] = octave
+                break
+    bound = F.create_map(*(F.lit(v) for pair in least.items() for v in pair))
+    near = usable.withColumn("_u", place).filter(_octave(F.col("_u")) >= bound[F.col("lang")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))
+    return near.withColumn("_n", rank).filter(F.col("_n") <= each).select("lang", "text")
+
+
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on a sample of (doc_id, text, lang) rows, evenly over languages, by hash order.
+    """Fit on a sample of (doc_id, text, lang) rows, evenly over languages, by hash order of the rows.
 
-    Which rows are drawn is decided on ids and languages alone; texts are read for those only.
+    At most ``MAX_LANGUAGES`` languages, which is an error beyond, and ``MAX_EACH`` rows of one.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", "text", "lang")
+    place = (F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 53)) + 1) / float(1 << 53)
+    names = [r.lang for r in usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not names:
         return Model.fit(np.zeros((0, DIMENSIONS), np.float32), [])
-    each = max(1, train_rows // len(counts))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    limits = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1 << 30, int((1 << 30) * each * 1.2 / n) + 1))))
-    drawn = usable.filter(place < limits[F.col("lang")]).select("lang", "text", place.alias("place")).orderBy("place", "text").limit(2 * train_rows)
+    counts: dict[str, dict[int, int]] = {}
+    for r in usable.groupBy("lang", _octave(place).alias("octave")).count().collect():  # at most 53 * STEPS + 1 rows a language
+        counts.setdefault(r.lang, {})[r.octave] = r["count"]
+    each = max(1, min(MAX_EACH, train_rows // len(counts)))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _blocks(batch):
-                x, letters = features(part.column("text"))
-                part = part.filter(pa.array(letters))
-                rows = [x[i].astype(np.float16).tobytes() for i in np.flatnonzero(letters)]
+                x, _ = features(part.column("text"))
+                rows = [v.astype(np.float16).tobytes() for v in x]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(rows, pa.binary())], ["lang", "x"])
 
-    got = drawn.select("lang", "text").mapInArrow(sparse, "lang string, x binary").toArrow()
-    seen = dict.fromkeys(counts, 0)
-    rows, langs = [], []
-    for lang, x in zip(got.column("lang").to_pylist(), got.column("x").to_pylist()):
-        seen[lang] += 1
-        if seen[lang] <= each:
-            rows.append(np.frombuffer(x, np.float16))
-            langs.append(lang)
-    return Model.fit(np.array(rows, np.float32).reshape(-1, DIMENSIONS), langs)
+    got = _draw(usable, each, counts, place).mapInArrow(sparse, "lang string, x binary").toArrow()  # at most train_rows rows
+    langs = got.column("lang").to_pylist()
+    x = np.array([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()], np.float32).reshape(-1, DIMENSIONS)
+    order = sorted(range(len(langs)), key=lambda i: (zlib.crc32(x[i].tobytes()), langs[i]))  # mixed, whatever the partitions
+    return Model.fit(x[order], [langs[i] for i in order])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
