@@ -16,7 +16,8 @@ more where there are some; roles also have their line ends escaped. Reading undo
 
 Edge cases: a null text or role is empty; rows are ordered by turn, then role and text, so
 repeated turns stay apart; a null turn comes first; rows with a null conv_id are one
-conversation; equal conversations share all nodes; an empty table gives an empty tree; other
+conversation; a very long text is one turn; a conversation of very many turns passes through one
+task in order, as its digest has to, but is never held there; equal conversations share all nodes; an empty table gives an empty tree; other
 columns are ignored.
 """
 
@@ -38,7 +39,6 @@ from graphloom.session import materialize, shared_path, shuffle_width
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
-MAX_ROUNDS = 1000
 
 
 def escape(text: str) -> str:
@@ -120,21 +120,27 @@ def _chains(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _keys(chains: DataFrame) -> DataFrame:
-    """Sort keys of all chains, from the roots down, one level a round."""
+    """Sort keys of all chains: the steps from the root down to each, by pointer jumping.
+
+    Every chain holds the steps below the ancestor it points to; a round prepends the ancestor's
+    own steps and takes over its pointer, so the number of rounds is the logarithm of the depth.
+    """
     step = F.struct((-F.col("branch")).alias("deep"), F.col("conv"), F.col("branch_pos").alias("pos"))
-    with_own = chains.filter("branch is not null")
-    front = materialize(with_own.filter("branch = 0").select("conv", F.array(step).alias("key")), "chat-keys")
-    below = materialize(with_own.filter("branch > 0"), "chat-below")
-    n = below.count()
-    keys = front
-    for _ in range(MAX_ROUNDS):
-        up = front.select(F.col("conv").alias("up"), F.col("key").alias("up_key"))
-        grown = join_unique(below, up, ["up"], n)
-        front = materialize(grown.select("conv", F.concat("up_key", F.array(step)).alias("key")), "chat-keys")
-        if front.isEmpty():
-            return keys
-        keys = keys.unionByName(front)
-    raise RuntimeError("chains nest too deeply")
+    own = chains.filter("branch is not null")
+    top = F.when(F.col("branch") > 0, F.col("up"))
+    open_ = materialize(own.select("conv", top.alias("up"), F.array(step).alias("key")), "chat-keys")
+    done = open_.filter("up is null").select("conv", "key")
+    while True:
+        waiting = open_.filter("up is not null")
+        n = waiting.count()
+        if not n:
+            return done
+        above = open_.select(F.col("conv").alias("up"), F.col("up").alias("next"), F.col("key").alias("up_key"))
+        grown = join_unique(waiting, above, ["up"], n)
+        grown = materialize(grown.select("conv", F.col("next").alias("up"), F.concat("up_key", "key").alias("key")), "chat-keys")
+        # finished chains stay to be pointed at
+        done = materialize(done.unionByName(grown.filter("up is null").select("conv", "key")), "chat-done")
+        open_ = grown.filter("up is not null").unionByName(done.withColumn("up", F.lit(None).cast("string")), allowMissingColumns=True)
 
 
 def _places(spark: SparkSession, keys: DataFrame, chains: DataFrame) -> DataFrame:
