@@ -4,8 +4,9 @@ Texts become streams of lower-case words in which numbers, given names and units
 placeholders. Windows of ``WINDOW`` stream items are hashed and joined with the windows of
 the benchmark; a shorter benchmark item of at least ``SHORTEST`` items is one window. A hit
 counts when its words are equal and its slots are consistent: in one occurrence (hits of an
-item at one offset), each of the item's slot values must map to one of the document's. Equal values mean a verbatim copy, other
-consistent values a re-parameterised one.
+item at one offset), each of the item's slot values must map to one of the document's, or the
+window's own values must be equal. ``verbatim`` tells that the whole item, word for word,
+stands in the document; anything else found is a re-parameterised or partial copy.
 
 The benchmark's windows are an index file of at most ``INDEX_ROWS`` rows that every task
 reads; a larger benchmark is cut into such blocks, each matched against all documents, so no
@@ -14,8 +15,8 @@ size is broadcast without a bound. Documents are never shuffled.
 An item without a window of enough plain words (``LEAST_WORDS``), or shorter than ``SHORTEST``,
 is matched whole and word for word, with its real values.
 
-Edge cases: null and empty texts have no windows; an item of one word marks nothing; repeated items
-and documents each count; empty tables give no hits; other columns are ignored or, in
+Edge cases: null and empty texts have no windows; a very long text is a block of its own; an
+item of one word marks nothing; repeated items and documents each count; empty tables give no hits; other columns are ignored or, in
 ``drop_contaminated``, kept.
 """
 
@@ -40,13 +41,18 @@ WINDOW, SHORTEST, LEAST_WORDS = 8, 4, 4
 INDEX_ROWS = 2_000_000
 BLOCK = 8_000_000
 _UNITS = frozenset(
-    "mm cm dm km kg mg lb lbs oz ft mph kmh kph hz khz mhz ghz kb mb gb tb kw kwh mw ml cl litre litres liter liters meter meters metre metres kilometer kilometers "
+    "gallon gallons quart quarts pint pints cup cups tablespoon tablespoons teaspoon teaspoons gal psi acre acres hectare hectares joule joules newton newtons ampere amperes amp amps ohm ohms hertz pascal pascals rupee rupees yuan rubles dozen dozens knot knots litro mm cm dm km kg mg lb lbs oz ft mph kmh kph hz khz mhz ghz kb mb gb tb kw kwh mw ml cl litre litres liter liters meter meters metre metres kilometer kilometers "
     "kilometre kilometres mile miles inch inches foot feet yard yards gram grams kilogram kilograms tonne tonnes ton tons pound pounds ounce ounces second seconds minute "
     "minutes hour hours day days week weeks month months year years degree degrees celsius fahrenheit kelvin watt watts volt volts percent percentage dollar dollars euro "
     "euros cent cents usd eur gbp yen peso pesos metro metros kilo kilos gramo gramos hora horas minuto minutos segundo segundos stunde stunden minuten sekunde sekunden "
     "meile meilen pfund heure heures seconde secondes mètre mètres gramme grammes litro litros".split()
 )
 _NAMES = frozenset(n.lower() for n in GIVEN)
+#: Written numbers; "one" is left out, since it is a pronoun as often.
+_NUMERALS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty "
+    "ninety hundred thousand million billion half twice thrice".split()
+)
 _WORD, _NUMBER, _UNIT, _NAME = range(4)
 _MARK = ("", "<number>", "<unit>", "<name>")
 _CLEAN = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
@@ -57,7 +63,7 @@ _TABLE = 300_000
 
 
 def _kind(word: str) -> int:
-    if word[0].isdigit():
+    if word[0].isdigit() or word in _NUMERALS:
         return _NUMBER
     if word in _UNITS:
         return _UNIT
@@ -122,6 +128,15 @@ class Streams:
         doc = self.doc[np.repeat(np.arange(len(self.at)), np.diff(np.append(self.at, self.n_words)))]
         return np.append(np.uint64(0), np.cumsum(own * powers[:-1], dtype=np.uint64)), doc
 
+    def starts_with(self, item: int, n_words: int, whole: int) -> bool:
+        """Whether the ``n_words`` words from an item on, in its document, have the hash ``whole``."""
+        at = int(self.at[item])
+        end = item + 1
+        while end < len(self.doc) and self.doc[end] == self.doc[item] and int(self.at[end]) < at + n_words:
+            end += 1
+        last = int(self.at[end]) if end < len(self.at) else self.n_words
+        return at + n_words <= last and _whole([self.words[i] for i in self.index[at : at + n_words].tolist()]) == whole
+
     def value(self, item: int) -> str:
         first = int(self.at[item])
         last = int(self.at[item + 1]) if item + 1 < len(self.at) else self.n_words
@@ -152,7 +167,8 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, Streams]]:
             release()
 
 
-_WINDOWS = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("place", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+#: ``n_words`` and ``whole`` are those of the item: how many words it has, and their hash.
+_WINDOWS = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("place", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("n_words", pa.int32()), ("whole", pa.int64())])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -168,20 +184,28 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 for d in np.flatnonzero((lengths >= SHORTEST) & (lengths < window)).tolist():
                     starts, hashes = s.windows(int(lengths[d]))
                     todo += [(int(i), int(lengths[d]), int(h)) for i, h in zip(starts, hashes.view(np.int64)) if i == first[d]]
+                ends = np.append(s.at, s.n_words)
+                known: dict[int, list[str]] = {}
+
+                def words_of(d: int) -> list[str]:
+                    if d not in known:
+                        known[d] = [s.words[i] for i in s.index[ends[first[d]] : ends[first[d] + lengths[d]]].tolist()]
+                    return known[d]
+
                 for i, n, h in todo:
                     if (s.kind[i : i + n] == _WORD).sum() >= min(LEAST_WORDS, n):
                         template, slots = s.window(i, n)
                         rows.append({"hash": h, "item_id": names[base + int(s.doc[i])], "size": n, "place": i - int(first[s.doc[i]]), "template": template, "slots": slots})
+                        rows[-1] |= {"n_words": len(words_of(int(s.doc[i]))), "whole": _whole(words_of(int(s.doc[i])))}
                 indexed = {int(s.doc[i]) for i, n, _ in todo if (s.kind[i : i + n] == _WORD).sum() >= min(LEAST_WORDS, n)}
-                ends = np.append(s.at, s.n_words)
                 for d in np.flatnonzero(lengths).tolist():
-                    words = [s.words[i] for i in s.index[ends[first[d]] : ends[first[d] + lengths[d]]].tolist()]
+                    words = words_of(d)
                     if d not in indexed and len(words) > 1:
                         # whole and verbatim: a negative size, in words
-                        rows.append({"hash": _whole(words), "item_id": names[base + d], "size": -len(words), "place": 0, "template": " ".join(words), "slots": []})
+                        rows.append({"hash": _whole(words), "item_id": names[base + d], "size": -len(words), "place": 0, "template": " ".join(words), "slots": [], "n_words": len(words), "whole": _whole(words)})
                 yield pa.RecordBatch.from_pylist(rows, _WINDOWS)
 
-    schema = "hash long, item_id long, size int, place long, template string, slots array<string>"
+    schema = "hash long, item_id long, size int, place long, template string, slots array<string>, n_words int, whole long"
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, schema)
 
 
@@ -216,6 +240,8 @@ class Index:
     def hits(self, s: Streams) -> Iterator[tuple[int, int, int, bool]]:
         """(document, item, windows, verbatim) for every item found in a document."""
         found: dict[tuple[int, int], dict[int, list[tuple[list[str], list[str]]]]] = {}
+        whole: dict[tuple[int, int], set[int]] = {}
+        first = np.searchsorted(s.doc, np.arange(int(s.doc[-1]) + 1 if len(s.doc) else 0))
         for length in self.lengths:
             starts, hashes = s.windows(length)
             maybe = np.flatnonzero(self.seen[hashes >> np.uint64(42)])
@@ -226,14 +252,19 @@ class Index:
                 for k in self.order[a:b].tolist():
                     if self.table.column("size")[k].as_py() == length and self.table.column("template")[k].as_py() == template:
                         key = (int(s.doc[i]), self.table.column("item_id")[k].as_py())
-                        found.setdefault(key, {}).setdefault(i - self.table.column("place")[k].as_py(), []).append((self.table.column("slots")[k].as_py(), slots))
+                        begin = i - self.table.column("place")[k].as_py()
+                        pairs = found.setdefault(key, {}).setdefault(begin, [])
+                        pairs.append((self.table.column("slots")[k].as_py(), slots))
+                        if len(pairs) == 1 and begin >= first[key[0]] and s.starts_with(begin, self.table.column("n_words")[k].as_py(), self.table.column("whole")[k].as_py()):
+                            whole.setdefault(key, set()).add(begin)
         for doc, item in self.verbatim(s):
             at = found.setdefault((doc, item), {})
             at[len(at), "whole"] = [([], [])]
-        for (doc, item), occurrences in found.items():
-            good = [x for pairs in occurrences.values() if (x := judge(pairs))]
-            if good:
-                yield doc, item, sum(n for n, _ in good), any(same for _, same in good)
+            whole.setdefault((doc, item), set()).add((len(at) - 1, "whole"))
+        for key, occurrences in found.items():
+            counted = sum(judge(pairs) for pairs in occurrences.values())
+            if counted:
+                yield *key, counted, bool(whole.get(key))
 
     def verbatim(self, s: Streams) -> Iterator[tuple[int, int]]:
         """(document, item) of every occurrence of a whole item."""
@@ -254,13 +285,12 @@ class Index:
                         yield int(doc[i]), self.table.column("item_id")[k].as_py()
 
 
-def judge(pairs: list[tuple[list[str], list[str]]]) -> tuple[int, bool] | None:
-    """Windows that count in one occurrence and whether they are verbatim, or None."""
-    plain = sum(a == b for a, b in pairs)
-    kept = [p for p in pairs if consistent([p])]
-    if plain == len(pairs) or (kept and consistent(kept)):
-        return len(kept), plain == len(pairs)
-    return (plain, True) if plain else None
+def judge(pairs: list[tuple[list[str], list[str]]]) -> int:
+    """Windows that count in one occurrence: all where its slots are consistent, else those with equal slots.
+
+    A window whose slots contradict themselves refutes the occurrence like one that contradicts another.
+    """
+    return len(pairs) if consistent(pairs) else sum(a == b for a, b in pairs)
 
 
 def consistent(pairs: list[tuple[list[str], list[str]]]) -> bool:
@@ -288,7 +318,7 @@ def _index(uri: str) -> Index:
 
 
 def build_index(benchmark: DataFrame, window: int = WINDOW, index_rows: int = INDEX_ROWS) -> list[str]:
-    """Index files of at most about ``index_rows`` windows each, cut by a hash of the window."""
+    """Index files of at most about ``index_rows`` windows each, cut by a hash of the item."""
     spark = benchmark.sparkSession
     text_batches(spark)
     table = materialize(benchmark_windows(benchmark, window), "bench-windows")
