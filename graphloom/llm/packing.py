@@ -28,6 +28,8 @@ from graphloom.llm.tokens import encoder
 from graphloom.session import materialize, parts_for, text_batches
 
 CAPACITY, END_ID = 1024, 2
+#: Bytes of text whose ids one worker holds at a time.
+TEXT_BYTES = 8 << 20
 #: Pieces of a group, islands of a group, rounds with a migration between them, offspring of a round.
 GROUP, ISLANDS, ROUNDS, OFFSPRING = 16_384, 2, 2, 6
 _POPULATION, _WELL_FILLED, _POOR = 4, 0.995, 0.97
@@ -335,23 +337,24 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, 4000):
-                some = batch.slice(i, 4000)
+            row = 0
+            for coded in enc.blocks(batch.column("text"), TEXT_BYTES):
                 rows: list[tuple] = []
-                for doc, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text"))):
-                    ids += end
-                    n = len(ids) // 4
+                for doc, ids in zip(batch.column("doc_id").slice(row, len(coded)).to_pylist(), coded):
+                    n = len(ids) // 4 + 1
                     first = n % capacity or capacity
                     at = 0
                     for k in range(-(-n // capacity)):
                         to = first + k * capacity
-                        rows.append((doc, k, at, to - at, ids[4 * at : 4 * to]))
+                        part = ids[4 * at : 4 * to] + end if to == n else ids[4 * at : 4 * to]
+                        rows.append((doc, k, at, to - at, zlib.crc32(part), part if with_ids else None))
                         at = to
+                row += len(coded)
                 cols = list(zip(*rows))
-                out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([zlib.crc32(x) for x in cols[4]], pa.int64())]
+                out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    out.append(pa.array(cols[4], pa.binary()))
+                    out.append(pa.array(cols[5], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 

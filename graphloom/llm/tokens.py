@@ -16,6 +16,7 @@ import gc
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids one process keeps; a full table keeps what the block at hand uses.
 WORD_TABLE = 450_000
 #: Bytes of text whose words are told apart at a time; words put together at a time.
-BLOCK, SLICE = 16_000_000, 1_000_000
+BLOCK, SLICE = 16_000_000, 200_000
 _SAFE_SPACE = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _SIGNS = ".,;:!?*#$%&|()\"<>=+/-"
@@ -166,13 +167,12 @@ class WordEncoder:
         flat = lists.flatten()
         starts = np.asarray(lists.offsets)[: len(texts)] - lists.offsets[0].as_py()
         where = np.append(starts, len(flat))
-        coded = flat.dictionary_encode()
-        index = np.asarray(coded.indices).copy()
-        used = self._words(coded.dictionary, " ")
-        first = flat.take(pa.array(starts)).dictionary_encode()
-        index[starts] = np.asarray(first.indices) + len(used)
-        used += self._words(first.dictionary, "")
-        del lists, flat, coded, first
+        coded, first = flat.dictionary_encode(), flat.take(pa.array(starts)).dictionary_encode()
+        del lists, flat
+        index, words, heads = np.asarray(coded.indices).copy(), coded.dictionary, first.dictionary
+        index[starts] = np.asarray(first.indices) + len(words)
+        del coded, first
+        used = self._words(words, " ") + self._words(heads, "")
         unsafe = np.fromiter((x is None for x in used), bool, len(used))
         used = [x or b"" for x in used]
         size = np.fromiter(map(len, used), np.int32, len(used))
@@ -184,8 +184,7 @@ class WordEncoder:
             ends = np.append(0, np.cumsum(size[part], dtype=np.int64))[where[a : b + 1] - where[a]].tolist()
             result += [whole[i:j] for i, j in zip(ends, ends[1:])]
         if unsafe.any():
-            seen = np.append(0, np.cumsum(unsafe[index]))
-            for i in np.flatnonzero(seen[where[1:]] > seen[where[:-1]]).tolist():
+            for i in np.unique(np.searchsorted(where, np.flatnonzero(unsafe[index]), "right") - 1).tolist():
                 result[i] = self._mixed(texts[i].as_py())
         for special in self.specials:
             for i in np.flatnonzero(np.asarray(pc.match_substring(texts, special))).tolist():
@@ -194,25 +193,28 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of every text as bytes; a null text is an empty one."""
+        return [ids for block in self.blocks(texts) for ids in block]
+
+    def blocks(self, texts: pa.Array | list[str | None], limit: int = BLOCK) -> Iterator[list[bytes]]:
+        """As ``encode``, for some texts after others: those of about ``limit`` bytes, or one longer text."""
         claim("tokens")
         if not isinstance(texts, (pa.Array, pa.ChunkedArray)):
             texts = pa.array(texts, pa.large_string())
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_string()).fill_null("")
-        if not self.word_wise:
-            return [self._plain(t) if t else b"" for t in texts.to_pylist()]
+        sizes = np.cumsum(np.asarray(pc.binary_length(texts))) // limit
+        bounds = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        for a, b in zip(bounds, bounds[1:]):
+            if b > a:
+                yield self._quietly(texts[a:b]) if self.word_wise else [self._plain(t) if t else b"" for t in texts[a:b].to_pylist()]
+                release()
+
+    def _quietly(self, texts: pa.LargeStringArray) -> list[bytes]:
         was = gc.isenabled()
         gc.disable()  # the many small lists hold no cycles
         try:
-            out: list[bytes] = []
-            sizes = np.cumsum(np.asarray(pc.binary_length(texts))) // BLOCK
-            bounds = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
-            for a, b in zip(bounds, bounds[1:]):
-                if b > a:
-                    out += self._block(texts[a:b])
-                    release()
-            return out
+            return self._block(texts)
         finally:
             if was:
                 gc.enable()
