@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,7 +54,8 @@ def weighted_package_edges(c: DataFrame, r: DataFrame) -> DataFrame:
 def greedy_modularity(ids: list[str], weights: dict[tuple[str, str], float]) -> list[list[str]]:
     """Merge the pair with the largest modularity gain while there is one.
 
-    Gain: 2 (w / m - d_a d_b / (2 m^2)); equal gains go to the least pair, and b joins a.
+    Gain: 2 (w / m - d_a d_b / (2 m^2)); equal gains go to the least pair, and b joins a. Pairs
+    wait in a heap, and the smaller neighbourhood is moved.
     """
     ids = sorted(ids)
     place = {x: i for i, x in enumerate(ids)}
@@ -62,30 +64,51 @@ def greedy_modularity(ids: list[str], weights: dict[tuple[str, str], float]) ->
         i, j = sorted((place[a], place[b]))
         between[i, j] = between.get((i, j), 0.0) + w
     m = sum(between.values())
-    groups = {i: [x] for i, x in enumerate(ids)}
-    degree = {i: 0.0 for i in groups}
+    groups = [[x] for x in ids]
+    degree, near = [0.0] * len(ids), [{} for _ in ids]
     for (i, j), w in between.items():
         degree[i] += w
         degree[j] += w
-    while m > 0:
-        best, gain = None, 0.0
-        for (i, j), w in sorted(between.items()):
-            now = 2.0 * (w / m - degree[i] * degree[j] / (2.0 * m * m))
-            if now > gain:
-                best, gain = (i, j), now
-        if best is None:
-            break
-        i, j = best
-        groups[i] += groups.pop(j)
-        degree[i] += degree.pop(j)
-        merged: dict[tuple[int, int], float] = {}
-        for (a, b), w in between.items():
-            a, b = (i if a == j else a), (i if b == j else b)
-            if a != b:
-                key = (min(a, b), max(a, b))
-                merged[key] = merged.get(key, 0.0) + w
-        between = merged
-    return sorted(sorted(g) for g in groups.values())
+        if i != j:
+            near[i][j] = near[j][i] = w
+    label = list(range(len(ids)))  # the least place in the group that a slot holds, and back; -1 of slots that are gone
+    slot = list(range(len(ids)))
+
+    def entry(s: int, t: int, w: float) -> tuple[float, int, int, float]:
+        i, j = sorted((label[s], label[t]))
+        return -2.0 * (w / m - degree[s] * degree[t] / (2.0 * m * m)), i, j, w
+
+    # degrees only grow, so an old gain is never too small; pairs with another weight or label are entered anew
+    heap = [entry(s, t, w) for (s, t), w in between.items() if s != t] if m > 0 else []
+    heapq.heapify(heap)
+    while heap:
+        found = heapq.heappop(heap)
+        _, i, j, w = found
+        s, t = slot[i], slot[j]
+        if found[0] >= 0 or s < 0 or t < 0 or near[s].get(t) != w:
+            continue
+        now = entry(s, t, w)
+        if now != found:
+            heapq.heappush(heap, now)
+            continue
+        if len(near[s]) < len(near[t]):
+            s, t = t, s
+        renamed = label[s] != i  # s stays, t goes; i names both
+        label[s], slot[i], slot[j] = i, s, -1
+        degree[s] += degree[t]
+        del near[s][t], near[t][s]
+        for x, w in near[t].items():
+            del near[x][t]
+            near[s][x] = near[x][s] = near[s].get(x, 0.0) + w
+        moved = near[s] if renamed else near[t]
+        for x in moved:
+            heapq.heappush(heap, entry(s, x, near[s][x]))
+        near[t] = {}
+        if len(groups[s]) < len(groups[t]):
+            groups[s], groups[t] = groups[t], groups[s]
+        groups[s] += groups[t]
+        groups[t] = []
+    return sorted(sorted(g) for g in groups if g)
 
 
 def communities(c: DataFrame, r: DataFrame) -> DataFrame:
